@@ -43,17 +43,17 @@ with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
     ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as key, text from {docs}),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, (case (row_number() over (order by source is null, source) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end)::bigint as w from s),
-r as (select *, row_number() over (order by 3 * source_size / w, source is null, source) as at,
+r as (select *, row_number() over (order by 3 * source_size / w, source is null, source) as pos,
     ((select sum(source_size) from s) - coalesce(sum(3 * source_size) over (order by 3 * source_size / w, source is null, source rows between unbounded preceding and 1 preceding), 0))::bigint as l,
     ((select sum(w) from w) - coalesce(sum(w) over (order by 3 * source_size / w, source is null, source rows between unbounded preceding and 1 preceding), 0))::bigint as wl
     from w),
-f as (select at, l, wl from r where (3 * source_size)::hugeint * wl >= l::hugeint * w order by at limit 1),
-t as (select r.source, source_size, case when r.at < f.at then (3 * source_size)::double else f.l::double * w / f.wl end as target from r, f),
+f as (select pos, l, wl from r where (3 * source_size)::hugeint * wl >= l::hugeint * w order by pos limit 1),
+t as (select r.source, source_size, case when r.pos < f.pos then (3 * source_size)::double else f.l::double * w / f.wl end as target from r, f),
 x as (select doc_id, size, source_size, target, floor(target)::bigint as budget,
-    coalesce(sum(size) over (partition by d.source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as at
+    coalesce(sum(size) over (partition by d.source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as pos
     from d join t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target,
-  (case when source_size > 0 then (budget // source_size) * size + greatest(0, least(size, budget - (budget // source_size) * source_size - at)) else 0 end)::bigint as taken
+  (case when source_size > 0 then (budget // source_size) * size + greatest(0, least(size, budget - (budget // source_size) * source_size - pos)) else 0 end)::bigint as taken
 from x
 """
 
