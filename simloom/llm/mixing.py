@@ -23,6 +23,8 @@ from .common import materialise
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows a bucket of the random order holds on average.
 BUCKET_ROWS = 50_000
+#: Each source is cut into 2 ** LEAST_BITS buckets at least.
+LEAST_BITS = 8
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 #: A source gives at most so many times its own size.
@@ -76,7 +78,7 @@ def mix(
         ),
         "mix-sizes",
     )
-    bits = max(0, (rows.count() // bucket_rows).bit_length())
+    bits = max(LEAST_BITS, (rows.count() // bucket_rows).bit_length())
     rows = rows.withColumn("bucket", F.shiftright("key", _KEY_BITS - bits))
     source = ["no_source", "source_"]
     buckets = rows.groupBy(*source, "bucket").agg(F.sum("size").alias("bucket_size"))
