@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded, materialise
+
 #: The control strings of the template.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<<TURN>>", "<</TURN>>")
 #: Role: before and after the text.
@@ -130,6 +132,8 @@ def pack_conversations(conversations: DataFrame, pack: int = PACK, encode: Calla
     rows = conversations.withColumn("first", first)
     # One slim row a first turn; counts are summed before the shuffle.
     shared = rows.groupBy("first").agg(F.count("*").alias("n")).filter(F.col("n") > pack).select(F.col("first").alias("hot"), F.ceil(F.col("n") / pack).cast("int").alias("packs"))
+    # One row for every `pack` conversations at most; broadcast once counted to be few.
+    shared = bounded(materialise(shared, "hot-first-turns"))
     rows = rows.join(shared, rows["first"] == shared["hot"], "left")
     deal = F.pmod(F.xxhash64("conv_id"), F.coalesce("packs", F.lit(1))).cast("string")
     rows = rows.select("conv_id", "turns", F.concat_ws("-", "first", deal).alias("pack"))
