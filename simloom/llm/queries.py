@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, mixing, token_counts
+from . import chat_format, decontaminate, line_dedup, mixing, ngram_join, pii, quality, secrets, spotsigs, token_counts
 from .common import sha_hex, table
 
 LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -121,12 +121,64 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", sha_hex(F.col("base")).alias("base_sha256"), "spans")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", F.coalesce(quality.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = rf"""
+with recursive d as (select doc_id, regexp_extract_all(coalesce({LOWER_SQL}, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(list_slice(w, i, i + 4), ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+x as (select doc_id, g from s where g in (select g from s group by g having count(*) > 1)),
+i as (select a.doc_id as a, b.doc_id as b, count(*) as k from x a join x b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from i join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= 75 * (na.n + nb.n - k)),
+e as (select a, b from l union all select b, a from l),
+reach(id, r) as (select doc_id, doc_id from documents union select reach.id, e.b from reach join e on reach.r = e.a)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from documents left join n using (doc_id)
+  join (select id as doc_id, min(r) as component_id from reach group by id) using (doc_id)
+"""
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", sha_hex(F.col("base")).alias("base_sha256"), "spans")
+
+
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        sha_hex(F.col("edited_text")).alias("edited_sha256"),
+        spotsigs.fingerprint(F.col("sigs")).alias("fingerprint"),
+        spotsigs.fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 QUERIES = {
     "op1_decontaminate": (op1_decontaminate, OP1_SQL),
+    "op2_secret_scan": (op2_secret_scan, None),
+    "op3_quality": (op3_quality, None),
     "op4_mixing": (op4_mixing, mix_sql("documents")),
     "op5_line_dedup": (op5_line_dedup, OP5_SQL),
     "op6_chat_format": (op6_chat_format, OP6_SQL),
+    "op7_ngram_join": (op7_ngram_join, OP7_SQL),
     "op8_token_counts": (op8_token_counts, None),
+    "op9_pii": (op9_pii, None),
+    "op10_spotsigs": (op10_spotsigs, None),
 }
 
 
