@@ -16,7 +16,12 @@ already known are not looked for.
    components are formed only where they are few against the group's rows; in other groups blocks
    of nodes in order of size are compared with blocks that can hold partners, so no task and no
    shuffle gets all pairs.
-5. Candidates are compared by prefix tree: a block's sets are stored in a trie in global order,
+   A pair counts only where the shingle could be their first common one: what follows it in the
+   shorter rest must reach the least overlap.
+5. Candidate pairs meet their shared prefix shingles first: common ones in the prefixes and all of
+   the set whose prefix ends first that follows must reach the least overlap. Few pairs pass, and
+   only their documents' whole sets are made and moved.
+6. What passes is compared by prefix tree: a block's sets are stored in a trie in global order,
    one-child paths in one node; the probing set walks it once, carries its overlap down shared
    paths, and leaves a subtree when the overlap so far and what is left on either side cannot
    reach the least overlap the subtree's sizes ask for. Overlaps are counted, so the result is
@@ -153,19 +158,20 @@ def frequent_shingles(texts: DataFrame, k: int, frequent: int, most: int) -> tup
     return got["token"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
 
 
-def prefix_of(s: np.ndarray, common: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The first len(s) - ceil(percent len(s)) + 1 shingles of s in global order."""
+def prefix_of(s: np.ndarray, common: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The first len(s) - ceil(percent len(s)) + 1 shingles of s in global order, and the last one's count (0: rare)."""
     n = len(s)
     p = n - -(-n * percent // 100) + 1
     if not n or not len(common):
-        return s[:p] if n else s
+        return (s[:p] if n else s), 0
     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
     hot = common[at] == s
     cold = s[~hot]
     if len(cold) >= p:
-        return cold[:p]
-    late = s[hot]
-    return np.concatenate((cold, late[np.lexsort((late, counts[at[hot]]))]))[:p]
+        return cold[:p], 0
+    late, often = s[hot], counts[at[hot]]
+    order = np.lexsort((late, often))[: p - len(cold)]
+    return np.concatenate((cold, late[order])), int(often[order[-1]])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -187,12 +193,21 @@ def components(edges: DataFrame) -> DataFrame:
         labels = spread.select("id", "component")
 
 
-def _compare(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _compare(groups: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between the two sides of each group. groups: (g, side, id), side 0 probes side 1.
 
     Rows come sorted by group and side; a worker holds one group, whose size its maker bounds.
     """
-    rows = groups.join(sets, "id").select("g", "side", "id", "set").repartition("g").sortWithinPartitions("g", "side")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, starts in chunks(batch, 1):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists(Words(data, starts).shingles(k))], ["id", "set"])
+
+    groups = materialise(groups, "groups")
+    wanted = bounded(materialise(groups.select("id").distinct(), "wanted"))
+    sets = texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(whole, "id long, set array<long>")
+    rows = sets.join(bounded(groups), "id").select("g", "side", "id", "set").repartition("g").sortWithinPartitions("g", "side")
 
     def links(probes: list, members: list) -> Iterator[tuple[int, int]]:
         if probes and members:
@@ -222,6 +237,7 @@ def _compare(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _probe_groups(pairs: DataFrame) -> DataFrame:
     """Groups of pairs (a, b): a probes its partners, at most about CHUNK in a group."""
+    pairs = materialise(pairs, "pairs")
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
     dealt = pairs.join(sizes, "a").withColumn("g", F.concat_ws(":", "a", F.pmod(F.xxhash64("b"), F.col("parts"))))
     probes = dealt.select("g", F.lit(0).alias("side"), F.col("a").alias("id")).distinct()
@@ -239,23 +255,43 @@ def _star_pairs(posts: DataFrame, percent: int) -> DataFrame:
     return best.select((-F.col("best.col2")).alias("a"), F.col("id").alias("b"))
 
 
+def _need(n, m, percent: int):
+    return F.ceil((n + m) * percent / (100 + percent))
+
+
+def _likely(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose prefixes do not rule them out. shared: (id, n, last_f, last_t, tokens, mixed).
+
+    mixed marks ids that rows with different texts share; their pairs all pass.
+    """
+    left = shared.select(*(F.col(c).alias(f"a_{c}") for c in shared.columns))
+    right = shared.select(*(F.col(c).alias(f"b_{c}") for c in shared.columns))
+    met = pairs.join(left, pairs["a"] == left["a_id"]).join(right, pairs["b"] == right["b_id"])
+    common = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    a_first = F.struct("a_last_f", "a_last_t") <= F.struct("b_last_f", "b_last_t")
+    # The set whose prefix ends first meets the other one's prefix only up to there.
+    rest = F.ceil(F.when(a_first, F.col("a_n")).otherwise(F.col("b_n")) * percent / 100) - 1
+    return met.filter(F.col("a_mixed") | F.col("b_mixed") | (common + rest >= _need(F.col("a_n"), F.col("b_n"), percent))).select("a", "b")
+
+
 def _residual(posts: DataFrame, comps: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b), block groups (g, side, id)) across components, for posts (token, id, n)."""
-    rows = posts.select("token", "id", "n")
+    """(pairs (a, b), block groups (g, side, id)) across components, for posts (token, id, n, at)."""
+    rows = posts.select("token", "id", "n", "at")
     rows = rows.join(bounded(comps), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component") if comps is not None else rows.withColumn("c", F.col("id"))
     every = Window.partitionBy("token")
-    rows = rows.withColumn("c_min", F.min("c").over(every)).withColumn("c_max", F.max("c").over(every)).filter("c_min <> c_max").select("token", "id", "n", "c")
+    rows = rows.withColumn("c_min", F.min("c").over(every)).withColumn("c_max", F.max("c").over(every)).filter("c_min <> c_max").select("token", "id", "n", "at", "c")
     rows = materialise(rows, "open-groups")
     per = rows.groupBy("token", "c").agg(F.count("*").alias("m"))
     stats = per.groupBy("token").agg(F.sum("m").alias("rows_"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.max(F.struct("m", "c")).alias("big"))
     few = (F.col("rows_") * F.col("rows_") - F.col("squares")) <= 2 * PAIRS_A_ROW * F.col("rows_")
     stats = materialise(stats.select("token", "rows_", F.col("big.c").alias("big"), few.alias("few")), "open-stats")
     rows = rows.join(stats, "token")
-    small = rows.filter("few").select("token", "id", "n", "c", "big")
+    small = rows.filter("few").select("token", "id", "n", "at", "c", "big")
     # Of two components one is not the group's largest: its rows look at all others.
     left, right = small.filter("c <> big").alias("l"), small.alias("r")
     apart = (F.col("l.token") == F.col("r.token")) & (F.col("l.c") != F.col("r.c")) & ((F.col("r.c") == F.col("r.big")) | (F.col("l.id") < F.col("r.id")))
-    met = left.join(right, apart & _close("l.n", "r.n", percent))
+    first = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at")) >= _need(F.col("l.n"), F.col("r.n"), percent)
+    met = left.join(right, apart & _close("l.n", "r.n", percent) & first)
     pairs = met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
     place = F.row_number().over(Window.partitionBy("token").orderBy("n", "id")) - 1
     large = rows.filter("not few").select("token", "id", "n", F.floor(place / BLOCK).cast("int").alias("block"))
@@ -285,32 +321,26 @@ def jaccard_components(
                 # Two sums over hashed members tell sets apart (with their size).
                 d1 = [int(s.sum()) for s in sets]
                 d2 = [int((s * (s | np.int64(1)) ^ (s >> np.int64(29))).sum()) for s in sets]
-                ids = batch.column(0).slice(a, b - a)
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists([prefix_of(s, tokens, counts, percent) for s in sets])],
-                    ["id", "n", "d1", "d2", "prefix"],
-                )
+                firsts = [prefix_of(s, tokens, counts, percent) for s in sets]
+                numbers = [[len(s) for s in sets], d1, d2, [f for _, f in firsts]]
+                columns = [batch.column(0).slice(a, b - a), *(pa.array(x, pa.int64()) for x in numbers), lists([p for p, _ in firsts])]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "d1", "d2", "last_f", "prefix"])
 
-    own = materialise(texts.select("id", "text").mapInArrow(prefixes, "id long, n long, d1 long, d2 long, prefix array<long>"), "prefixes")
+    own = materialise(texts.select("id", "text").mapInArrow(prefixes, "id long, n long, d1 long, d2 long, last_f long, prefix array<long>"), "prefixes")
     named = own.filter("id is not null and n > 0")
     classes = materialise(named.groupBy("n", "d1", "d2").agg(F.min("id").alias("node")), "classes")
     nodes = bounded(classes.select(F.col("node").alias("id")).distinct())
-    posts = named.join(nodes, "id", "left_semi").select("id", "n", F.explode("prefix").alias("token"))
+    posts = named.join(nodes, "id", "left_semi").select("id", "n", "last_f", F.element_at("prefix", -1).alias("last_t"), F.posexplode("prefix").alias("at", "token"))
     group = Window.partitionBy("token")
     posts = posts.withColumn("members", F.count("*").over(group)).withColumn("lead", F.min(F.struct("id", "n")).over(group)).filter("members > 1")
-    posts = materialise(posts.select("token", "id", "n", F.col("lead.id").alias("lead_id"), F.col("lead.n").alias("lead_n")), "shared-prefixes")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, starts in chunks(batch, 1):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists(Words(data, starts).shingles(k))], ["id", "set"])
-
-    wanted = bounded(materialise(posts.select("id").distinct(), "wanted"))
-    sets = materialise(texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(whole, "id long, set array<long>"), "sets")
-    stars = materialise(_compare(_probe_groups(_star_pairs(posts, percent)), sets, percent), "star-links")
+    posts = materialise(posts.select("token", "id", "n", "at", "last_f", "last_t", F.col("lead.id").alias("lead_id"), F.col("lead.n").alias("lead_n")), "shared-prefixes")
+    shared = posts.groupBy("id").agg(F.max("n").alias("n"), F.max("last_f").alias("last_f"), F.max("last_t").alias("last_t"), F.collect_set("token").alias("tokens"), (F.countDistinct("n", "last_f", "last_t") > 1).alias("mixed"))
+    shared = materialise(shared, "shared-by-node")
+    stars = materialise(_compare(_probe_groups(_likely(_star_pairs(posts, percent), shared, percent)), texts, k, percent), "star-links")
     comps = components(stars)
     pairs, blocks = _residual(posts, comps, percent)
-    rest = materialise(_compare(_probe_groups(pairs), sets, percent).unionByName(_compare(blocks, sets, percent)), "rest-links")
+    groups = _probe_groups(_likely(pairs, shared, percent)).unionByName(blocks)
+    rest = materialise(_compare(groups, texts, k, percent), "rest-links")
     if not rest.isEmpty():
         up = comps.withColumnRenamed("component", "up")
         by_a = rest.join(up, rest["a"] == up["id"], "left").select(F.coalesce("up", "a").alias("a"), "b")
