@@ -10,12 +10,13 @@ already known are not looked for.
    prefixes come. The order only steers how much is compared, never what is found.
 2. A set's prefix, its first n - ceil(t n) + 1 shingles, must share one with any partner's prefix.
    Documents with equal sets are one node (the least id), so a large group of copies is one node.
-3. Star links: every node is tried with the node of least id in the group it shares most prefix
-   shingles with. Components of the links found are formed.
+3. Stars: every node is put with the node of least id in the group it shares most prefix shingles
+   with, and each star (dealt in parts if large, and then once more in other parts) is clustered:
+   walked from node to node, so that a group of near copies costs about one comparison a node.
 4. What is left are groups of a prefix shingle whose nodes are in several components. Pairs across
-   components are formed only where they are few against the group's rows; in other groups blocks
-   of nodes in order of size are compared with blocks that can hold partners, so no task and no
-   shuffle gets all pairs.
+   components are formed only where they are few against the group's rows; the nodes of other
+   groups are put together once, and blocks of them in order of size are clustered with blocks that
+   can hold partners, so no task and no shuffle gets all pairs.
    A pair counts only where the shingle could be their first common one: what follows it in the
    shorter rest must reach the least overlap.
 5. Candidate pairs meet their shared prefix shingles first: common ones in the prefixes and all of
@@ -50,9 +51,10 @@ FREQUENT = 40
 MOST_FREQUENT = 500_000
 #: Share of the hash range in which frequencies are counted.
 COUNTED = 0.4
-#: Members compared with one probe in one trie, and nodes of a block.
+#: Members compared with one probe in one trie, nodes of a block, and nodes that are clustered together.
 CHUNK = 256
-BLOCK = 512
+BLOCK = 256
+CLUSTER = 512
 #: Pairs a row up to which a group's pairs are formed.
 PAIRS_A_ROW = 64
 
@@ -111,8 +113,8 @@ class PrefixTree:
             large = [self.sizes[i] for i in node[4]] + [c[3] for c in node[1]]
             node[2], node[3] = min(sizes, default=0), max(large, default=0)
 
-    def matches(self, x: np.ndarray) -> list[int]:
-        """Members whose Jaccard index with x (sorted, not empty) is percent or more."""
+    def matches(self, x: np.ndarray, wanted: bytearray | None = None) -> list[int]:
+        """Members (of those wanted) whose Jaccard index with x (sorted, not empty) is percent or more."""
         found, n, percent = [], len(x), self.percent
         stack = [(self.root, 0, 0)]  # node, overlap and depth above it
         while stack:
@@ -128,11 +130,59 @@ class PrefixTree:
                 left = n - int(at[-1])
             if overlap + min(left, most - depth) < least_overlap(n, least, percent):
                 continue
-            found += [i for i in own if overlap >= least_overlap(n, self.sizes[i], percent)]
+            found += [i for i in own if (wanted is None or wanted[i]) and overlap >= least_overlap(n, self.sizes[i], percent)]
             stack += [(c, overlap, depth) for c in children]
         return found
 
 
+def cluster(nodes: list[tuple[int, int, np.ndarray]], percent: int = PERCENT) -> Iterator[tuple[int, int]]:
+    """Links between components of nodes (id, component so far, set) that make them whole.
+
+    A component is walked from its first node: each node asks the trie of those not reached yet,
+    and whom it finds joins the walk with all of its component. The trie is built anew when half of
+    its members are reached, so in a group of near copies, where the first walks reach nearly all,
+    the others ask small tries.
+    """
+    together: dict[int, list[int]] = {}
+    for i, (_, c, _) in enumerate(nodes):
+        together.setdefault(c, []).append(i)
+    waiting = bytearray(b"\x01" * len(nodes))
+    left = len(nodes)
+    members: list[int] = []
+    tree = None
+    alive = bytearray()
+    place: dict[int, int] = {}
+    frontier: list[int] = []
+
+    def reach(i: int) -> None:
+        nonlocal left
+        for j in together[nodes[i][1]]:
+            if waiting[j]:
+                waiting[j] = 0
+                left -= 1
+                frontier.append(j)
+                if j in place:
+                    alive[place[j]] = 0
+
+    for start in range(len(nodes)):
+        if not waiting[start]:
+            continue
+        reach(start)
+        while frontier:
+            at = frontier.pop()
+            if not left:
+                continue
+            if tree is None or left <= len(members) // 2:
+                members = [i for i in range(len(nodes)) if waiting[i]]
+                tree, alive = PrefixTree([nodes[i][2] for i in members], percent), bytearray(b"\x01" * len(members))
+                place = {i: k for k, i in enumerate(members)}
+            for k in tree.matches(nodes[at][2], alive):
+                if alive[k]:
+                    if nodes[at][0] != nodes[members[k]][0]:
+                        yield nodes[at][0], nodes[members[k]][0]
+                    reach(members[k])
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -194,7 +244,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _compare(groups: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between the two sides of each group. groups: (g, side, id), side 0 probes side 1.
+    """Links (a, b) in each group of groups (g, side, id, c): side 0 probes side 1, side 2 is clustered.
+
+    c is the component known so far.
 
     Rows come sorted by group and side; a worker holds one group, whose size its maker bounds.
     """
@@ -207,30 +259,33 @@ def _compare(groups: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     groups = materialise(groups, "groups")
     wanted = bounded(materialise(groups.select("id").distinct(), "wanted"))
     sets = texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(whole, "id long, set array<long>")
-    rows = sets.join(bounded(groups), "id").select("g", "side", "id", "set").repartition("g").sortWithinPartitions("g", "side")
+    rows = sets.join(bounded(groups), "id").select("g", "side", "id", "c", "set").repartition("g").sortWithinPartitions("g", "side")
 
-    def links(probes: list, members: list) -> Iterator[tuple[int, int]]:
+    def links(probes: list, members: list, others: list) -> Iterator[tuple[int, int]]:
         if probes and members:
-            tree = PrefixTree([s for _, s in members], percent)
-            for a, x in probes:
+            tree = PrefixTree([s for _, _, s in members], percent)
+            for a, _, x in probes:
                 for i in tree.matches(x):
                     if members[i][0] != a:
                         yield a, members[i][0]
+        yield from cluster(others, percent)
+
+    def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, sides = None, ([], [])
+        group, sides = None, ([], [], [])
         for batch in batches:
             out: list[tuple[int, int]] = []
-            column = batch.column(3)
+            column = batch.column(4)
             offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-            for j, (g, side, node) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+            for j, (g, side, node, c) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)):
                 if g != group:
                     out += links(*sides)
-                    group, sides = g, ([], [])
-                sides[side].append((node, values[offsets[j] : offsets[j + 1]].copy()))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
-        out = list(links(*sides))
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+                    group, sides = g, ([], [], [])
+                sides[side].append((node, c, values[offsets[j] : offsets[j + 1]].copy()))
+            yield batch_of(out)
+        yield batch_of(list(links(*sides)))
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -240,8 +295,18 @@ def _probe_groups(pairs: DataFrame) -> DataFrame:
     pairs = materialise(pairs, "pairs")
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
     dealt = pairs.join(sizes, "a").withColumn("g", F.concat_ws(":", "a", F.pmod(F.xxhash64("b"), F.col("parts"))))
-    probes = dealt.select("g", F.lit(0).alias("side"), F.col("a").alias("id")).distinct()
-    return probes.unionByName(dealt.select("g", F.lit(1).alias("side"), F.col("b").alias("id")))
+    probes = dealt.select("g", F.lit(0).alias("side"), F.col("a").alias("id"), F.col("a").alias("c")).distinct()
+    return probes.unionByName(dealt.select("g", F.lit(1).alias("side"), F.col("b").alias("id"), F.col("b").alias("c")))
+
+
+def _cluster_groups(stars: DataFrame, seed: int, several: bool) -> DataFrame:
+    """Groups of a leader and those starred to it, dealt by a hash; only of leaders with more than one if several."""
+    sizes = stars.groupBy("a").agg(F.ceil(F.count("*") / CLUSTER).cast("int").alias("parts"))
+    if several:
+        sizes = sizes.filter("parts > 1")
+    dealt = stars.join(sizes, "a").withColumn("g", F.concat_ws(":", "a", F.pmod(F.xxhash64("b", F.lit(seed)), F.col("parts"))))
+    leaders = dealt.select("g", F.lit(2).alias("side"), F.col("a").alias("id"), F.col("a").alias("c")).distinct()
+    return leaders.unionByName(dealt.select("g", F.lit(2).alias("side"), F.col("b").alias("id"), F.col("b").alias("c")))
 
 
 def _close(n: str, m: str, percent: int):
@@ -274,35 +339,47 @@ def _likely(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     return met.filter(F.col("a_mixed") | F.col("b_mixed") | (common + rest >= _need(F.col("a_n"), F.col("b_n"), percent))).select("a", "b")
 
 
-def _residual(posts: DataFrame, comps: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b), block groups (g, side, id)) across components, for posts (token, id, n, at)."""
-    rows = posts.select("token", "id", "n", "at")
-    rows = rows.join(bounded(comps), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component") if comps is not None else rows.withColumn("c", F.col("id"))
+def _residual(posts: DataFrame, comps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b), block groups (g, side, id, c)) across components, for posts (token, id, n, at, early).
+
+    Of two partners the smaller one (of equals, either) is early at the shingle: what follows the
+    shingle in it reaches the least overlap of two sets of its size. So early rows look at rows that
+    are not smaller; rows that are not early are never compared with one another.
+    """
+    rows = posts.filter("has_early").select("token", "id", "n", "at", "early")
+    rows = rows.join(bounded(comps), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     every = Window.partitionBy("token")
-    rows = rows.withColumn("c_min", F.min("c").over(every)).withColumn("c_max", F.max("c").over(every)).filter("c_min <> c_max").select("token", "id", "n", "at", "c")
+    rows = rows.withColumn("c_min", F.min("c").over(every)).withColumn("c_max", F.max("c").over(every)).filter("c_min <> c_max").select("token", "id", "n", "at", "early", "c")
     rows = materialise(rows, "open-groups")
-    per = rows.groupBy("token", "c").agg(F.count("*").alias("m"))
-    stats = per.groupBy("token").agg(F.sum("m").alias("rows_"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.max(F.struct("m", "c")).alias("big"))
-    few = (F.col("rows_") * F.col("rows_") - F.col("squares")) <= 2 * PAIRS_A_ROW * F.col("rows_")
-    stats = materialise(stats.select("token", "rows_", F.col("big.c").alias("big"), few.alias("few")), "open-stats")
-    rows = rows.join(stats, "token")
-    small = rows.filter("few").select("token", "id", "n", "at", "c", "big")
-    # Of two components one is not the group's largest: its rows look at all others.
-    left, right = small.filter("c <> big").alias("l"), small.alias("r")
-    apart = (F.col("l.token") == F.col("r.token")) & (F.col("l.c") != F.col("r.c")) & ((F.col("r.c") == F.col("r.big")) | (F.col("l.id") < F.col("r.id")))
+    per = rows.groupBy("token", "c").agg(F.count("*").alias("m"), F.count(F.when(F.col("early"), 1)).alias("e"))
+    stats = per.groupBy("token").agg(F.sum("m").alias("rows_"), F.sum("e").alias("e"), F.max(F.struct("m", "c", "e")).alias("big"))
+    looks = (F.col("e") - F.col("big.e")) * F.col("rows_") + F.col("big.e") * (F.col("rows_") - F.col("big.m"))
+    stats = stats.select("token", "rows_", "e", F.col("big.c").alias("big"), F.col("big.m").alias("big_m"), F.col("big.e").alias("big_e"), (looks <= PAIRS_A_ROW * F.col("rows_")).alias("few"))
+    stats = materialise(stats, "open-stats")
+    rows = rows.join(stats.select("token", "big", "few"), "token")
+    small = rows.filter("few").select("token", "id", "n", "at", "early", "c", "big")
     first = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at")) >= _need(F.col("l.n"), F.col("r.n"), percent)
-    met = left.join(right, apart & _close("l.n", "r.n", percent) & first)
-    pairs = met.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-    place = F.row_number().over(Window.partitionBy("token").orderBy("n", "id")) - 1
-    large = rows.filter("not few").select("token", "id", "n", F.floor(place / BLOCK).cast("int").alias("block"))
-    blocks = large.groupBy("token", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    order = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.id") < F.col("r.id")))
+    on = (F.col("l.token") == F.col("r.token")) & (F.col("l.c") != F.col("r.c")) & order & _close("l.n", "r.n", percent) & first
+    # Rows of a group's largest component look at the others only.
+    minor = small.filter("early and c <> big").alias("l").join(small.alias("r"), on)
+    major = small.filter("early and c = big").alias("l").join(small.filter("c <> big").alias("r"), on)
+    pairs = minor.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).unionByName(major.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))).distinct()
+    # Groups with many looks overlap, as near copies share many shingles: those that share a node
+    # are put together, and each two blocks that can hold partners are compared once.
+    large = materialise(rows.filter("not few").select("token", "id", "n", "c"), "large-groups")
+    leads = large.withColumn("lead", F.min("id").over(every)).filter("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    joint = large.select("id", "n", "c").distinct().join(bounded(components(leads).withColumnRenamed("component", "joint")), "id")
+    place = F.row_number().over(Window.partitionBy("joint").orderBy("n", "id")) - 1
+    joint = materialise(joint.withColumn("block", F.floor(place / BLOCK).cast("int")), "joint-groups")
+    blocks = joint.groupBy("joint", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     x, y = blocks.alias("x"), blocks.alias("y")
-    fit = (F.col("x.token") == F.col("y.token")) & (F.col("x.block") <= F.col("y.block")) & (F.col("y.lo") * percent <= F.col("x.hi") * 100)
-    tasks = x.join(y, fit).select(F.col("x.token").alias("token"), F.col("x.block").alias("x"), F.col("y.block").alias("y"))
-    tasks = tasks.withColumn("g", F.concat_ws(":", "token", "x", "y"))
-    probes = large.join(tasks.withColumnRenamed("x", "block"), ["token", "block"]).select("g", F.lit(0).alias("side"), "id")
-    members = large.join(tasks.drop("x").withColumnRenamed("y", "block"), ["token", "block"]).select("g", F.lit(1).alias("side"), "id")
-    return pairs, probes.unionByName(members)
+    fit = (F.col("x.joint") == F.col("y.joint")) & (F.col("x.block") <= F.col("y.block")) & (F.col("y.lo") * percent <= F.col("x.hi") * 100)
+    tasks = x.join(y, fit).select(F.col("x.joint").alias("joint"), F.col("x.block").alias("x"), F.col("y.block").alias("y"))
+    tasks = tasks.withColumn("g", F.concat_ws(":", "joint", "x", "y"))
+    one = joint.join(tasks.select("g", "joint", F.col("x").alias("block")), ["joint", "block"])
+    other = joint.join(tasks.filter("x <> y").select("g", "joint", F.col("y").alias("block")), ["joint", "block"])
+    return pairs, one.unionByName(other).select("g", F.lit(2).alias("side"), "id", "c")
 
 
 def jaccard_components(
@@ -333,11 +410,15 @@ def jaccard_components(
     posts = named.join(nodes, "id", "left_semi").select("id", "n", "last_f", F.element_at("prefix", -1).alias("last_t"), F.posexplode("prefix").alias("at", "token"))
     group = Window.partitionBy("token")
     posts = posts.withColumn("members", F.count("*").over(group)).withColumn("lead", F.min(F.struct("id", "n")).over(group)).filter("members > 1")
-    posts = materialise(posts.select("token", "id", "n", "at", "last_f", "last_t", F.col("lead.id").alias("lead_id"), F.col("lead.n").alias("lead_n")), "shared-prefixes")
+    early = F.col("n") - F.col("at") >= _need(F.col("n"), F.col("n"), percent)
+    posts = posts.withColumn("early", early).withColumn("has_early", F.max("early").over(group))
+    posts = materialise(posts.select("token", "id", "n", "at", "early", "has_early", "last_f", "last_t", F.col("lead.id").alias("lead_id"), F.col("lead.n").alias("lead_n")), "shared-prefixes")
     shared = posts.groupBy("id").agg(F.max("n").alias("n"), F.max("last_f").alias("last_f"), F.max("last_t").alias("last_t"), F.collect_set("token").alias("tokens"), (F.countDistinct("n", "last_f", "last_t") > 1).alias("mixed"))
     shared = materialise(shared, "shared-by-node")
-    stars = materialise(_compare(_probe_groups(_likely(_star_pairs(posts, percent), shared, percent)), texts, k, percent), "star-links")
-    comps = components(stars)
+    stars = materialise(_likely(_star_pairs(posts, percent), shared, percent), "stars")
+    links = materialise(_compare(_cluster_groups(stars, 1, False), texts, k, percent), "star-links")
+    again = _compare(_cluster_groups(stars, 2, True), texts, k, percent)
+    comps = components(links.unionByName(materialise(again, "star-links")))
     pairs, blocks = _residual(posts, comps, percent)
     groups = _probe_groups(_likely(pairs, shared, percent)).unionByName(blocks)
     rest = materialise(_compare(groups, texts, k, percent), "rest-links")
