@@ -53,8 +53,8 @@ MOST_FREQUENT = 500_000
 COUNTED = 0.4
 #: Members compared with one probe in one trie, nodes of a block, and nodes that are clustered together.
 CHUNK = 256
-BLOCK = 256
-CLUSTER = 512
+BLOCK = 128
+CLUSTER = 256
 #: Pairs a row up to which a group's pairs are formed.
 PAIRS_A_ROW = 64
 

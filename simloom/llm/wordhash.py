@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are looked at together.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _MASK = (1 << 64) - 1
 
