@@ -15,7 +15,7 @@ already known are not looked for.
    walked from node to node, so that a group of near copies costs about one comparison a node.
 4. What is left are groups of a prefix shingle whose nodes are in several components. Pairs across
    components are formed only where they are few against the group's rows; the nodes of other
-   groups are put together once, and blocks of them in order of size are clustered with blocks that
+   groups are put together once, and blocks of them by size are clustered with blocks that
    can hold partners, so no task and no shuffle gets all pairs.
    A pair counts only where the shingle could be their first common one: what follows it in the
    shorter rest must reach the least overlap.
@@ -34,6 +34,7 @@ empty texts have empty sets and are linked with nothing. Empty tables give empty
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -370,11 +371,17 @@ def _residual(posts: DataFrame, comps: DataFrame, percent: int) -> tuple[DataFra
     large = materialise(rows.filter("not few").select("token", "id", "n", "c"), "large-groups")
     leads = large.withColumn("lead", F.min("id").over(every)).filter("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     joint = large.select("id", "n", "c").distinct().join(bounded(components(leads).withColumnRenamed("component", "joint")), "id")
-    place = F.row_number().over(Window.partitionBy("joint").orderBy("n", "id")) - 1
-    joint = materialise(joint.withColumn("block", F.floor(place / BLOCK).cast("int")), "joint-groups")
-    blocks = joint.groupBy("joint", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # Blocks: ranges of sizes that span a factor of 100 / percent, dealt in parts by a hash.
+    width = math.log(100 / percent)
+    joint = joint.withColumn("span", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
+    parts = joint.groupBy("joint", "span").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    joint = joint.join(bounded(materialise(parts, "block-parts")), ["joint", "span"])
+    joint = materialise(joint.withColumn("block", F.concat_ws(".", "span", F.pmod(F.xxhash64("id"), F.col("parts")))), "joint-groups")
+    blocks = joint.groupBy("joint", "span", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     x, y = blocks.alias("x"), blocks.alias("y")
-    fit = (F.col("x.joint") == F.col("y.joint")) & (F.col("x.block") <= F.col("y.block")) & (F.col("y.lo") * percent <= F.col("x.hi") * 100)
+    # Partners' spans differ by one at most (two allow for rounding); their sizes then decide.
+    order = (F.col("x.span") < F.col("y.span")) | ((F.col("x.span") == F.col("y.span")) & (F.col("x.block") <= F.col("y.block")))
+    fit = (F.col("x.joint") == F.col("y.joint")) & order & (F.col("y.span") - F.col("x.span") <= 2) & (F.col("y.lo") * percent <= F.col("x.hi") * 100)
     tasks = x.join(y, fit).select(F.col("x.joint").alias("joint"), F.col("x.block").alias("x"), F.col("y.block").alias("y"))
     tasks = tasks.withColumn("g", F.concat_ws(":", "joint", "x", "y"))
     one = joint.join(tasks.select("g", "joint", F.col("x").alias("block")), ["joint", "block"])

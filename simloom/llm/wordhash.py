@@ -10,8 +10,6 @@ import pyarrow as pa
 #: Bytes of text that are looked at together.
 CHUNK_BYTES = 1 << 20
 
-_MASK = (1 << 64) - 1
-
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
