@@ -36,7 +36,8 @@ CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<<TURN>>"
 FRAMES = {"user": ("<s>[INST] ", " [/INST]"), "assistant": (" ", " </s>"), "system": ("<<SYS>> ", " <</SYS>>")}
 #: Other roles: the role's name comes between the first two.
 OTHER = ("<<TURN>>", "\n", "<</TURN>>")
-PACK = 256
+#: Conversations of a pack on average, where a first turn has more.
+PACK = 64
 
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 _TURN = re.compile(
