@@ -37,7 +37,7 @@ FRAMES = {"user": ("<s>[INST] ", " [/INST]"), "assistant": (" ", " </s>"), "syst
 #: Other roles: the role's name comes between the first two.
 OTHER = ("<<TURN>>", "\n", "<</TURN>>")
 #: Conversations of a pack on average, where a first turn has more.
-PACK = 64
+PACK = 32
 
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 _TURN = re.compile(

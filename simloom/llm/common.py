@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,32 +15,47 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 #: A side is broadcast only when it was counted to have at most this many rows.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='simloom-')}"
+        own = tempfile.mkdtemp(prefix="simloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Tables that this process has stored in the shared folder.
+_stored: list[str] = []
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _stored.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it was counted to have at most `rows` rows; else as it is (shuffle join).
+def clean(spark: SparkSession) -> None:
+    """Delete the stored tables of this process. Results that were not written yet cannot be read after it."""
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _stored:
+        path = paths(_stored.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it was counted to have at most `rows` (BROADCAST_ROWS) rows; else as it is (shuffle join).
 
     Call it on stored tables only: the count reads the table.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
 
 
 def ascii_lower(text: Column) -> Column:

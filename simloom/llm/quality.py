@@ -35,7 +35,7 @@ _UPPER, _DIGIT, _SIGN, _HIGH, _LINE = range(5)
 
 
 def _classes() -> np.ndarray:
-    table = np.zeros((256, 5), dtype=np.float32)
+    table = np.zeros((256, 5), dtype=bool)
     table[65:91, _UPPER] = 1
     table[48:58, _DIGIT] = 1
     for a, b in ((33, 48), (58, 65), (91, 97), (123, 127)):
@@ -76,14 +76,15 @@ def passages(words: Words, data: np.ndarray, starts: np.ndarray, length: int = P
     new = np.ones(len(order), dtype=bool)
     new[1:] = (of[order][1:] != of[order][:-1]) | (words.hash[order][1:] != words.hash[order][:-1])
     distinct = np.bincount(of[order][new], minlength=len(doc)) / safe
-    kinds = _CLASS[data]
-    total = np.concatenate((np.zeros((1, 5)), np.cumsum(kinds, axis=0, dtype=np.float64)))
     first_byte = np.zeros(len(doc), dtype=np.int64)
     last_byte = np.zeros(len(doc), dtype=np.int64)
     first_byte[full] = words.at[begin[full]]
     last_byte[full] = (words.at + words.size)[end[full] - 1]
     n_bytes = np.maximum(last_byte - first_byte, 1)
-    shares = (total[last_byte] - total[first_byte]) / n_bytes[:, None]
+    shares = np.empty((len(doc), 5))
+    for kind in range(5):
+        total = np.concatenate(([0], np.cumsum(_CLASS[:, kind][data], dtype=np.int64)))
+        shares[:, kind] = (total[last_byte] - total[first_byte]) / n_bytes
     head = data[words.at]
     tail = data[words.at + words.size - 1]
     out[:, 0] = np.log1p(count) / 5

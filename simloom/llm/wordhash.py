@@ -68,18 +68,20 @@ class Words:
         self.at = np.flatnonzero(begins)
         self.size = np.flatnonzero(ends) + 1 - self.at
         self.first = np.searchsorted(self.at, starts)
-        n = len(self.at)
-        if n:
-            places = np.flatnonzero(word)
-            head = np.concatenate(([0], np.cumsum(self.size)[:-1]))
-            inner = np.arange(len(places)) - np.repeat(head, self.size)
-            powers = np.full(int(self.size.max()), _STEP, dtype=np.uint64)
-            powers[0] = 1
-            powers = np.cumprod(powers)
-            sums = np.add.reduceat(_BYTE[data[places]] * powers[inner], head)
-            self.hash = _mix(sums + self.size.astype(np.uint64))
-        else:
-            self.hash = np.zeros(0, dtype=np.uint64)
+        self.hash = np.zeros(len(self.at), dtype=np.uint64)
+        ends = np.cumsum(self.size)
+        i, n = 0, len(self.at)
+        powers = np.full(int(self.size.max()) if n else 0, _STEP, dtype=np.uint64)
+        powers[:1] = 1
+        powers = np.cumprod(powers)
+        while i < n:  # words of bounded bytes at a time, as the numbers take many bytes a byte
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CHUNK_BYTES, side="right")))
+            part = slice(self.at[i], self.at[j - 1] + self.size[j - 1])
+            letters, size = data[part][word[part]], self.size[i:j]
+            head = np.cumsum(size) - size
+            inner = np.arange(len(letters)) - np.repeat(head, size)
+            self.hash[i:j] = _mix(np.add.reduceat(_BYTE[letters] * powers[inner], head) + size.astype(np.uint64))
+            i = j
 
     def shingles(self, k: int) -> list[np.ndarray]:
         """Each text's sorted distinct hashes (int64) of k consecutive words; of all its words if fewer."""
