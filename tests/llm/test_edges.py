@@ -233,8 +233,9 @@ def brute_components(docs):
     return {d: (len(s), root(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize("pairs_a_row", [64, 0])
-def test_ngram_join_against_brute_force(spark, monkeypatch, pairs_a_row):
+@pytest.mark.parametrize("pairs_a_row, broadcast_rows", [(64, 10**6), (0, 10**6), (64, 0), (0, 0)])
+def test_ngram_join_against_brute_force(spark, monkeypatch, pairs_a_row, broadcast_rows):
+    monkeypatch.setattr("simloom.llm.common.BROADCAST_ROWS", broadcast_rows)
     monkeypatch.setattr(ngram_join, "PAIRS_A_ROW", pairs_a_row)
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
     monkeypatch.setattr(ngram_join, "CHUNK", 5)
