@@ -133,5 +133,5 @@ def top_k(scored: DataFrame, k: int, partition: tuple[str, ...] = ("query_id",))
 
 def without_self(scored: DataFrame, own: DataFrame) -> DataFrame:
     """Rows whose asset is not the query's own. own: (query_id, self_key), null for queries that are no asset."""
-    met = scored.join(F.broadcast(own.select("query_id", "self_key")), "query_id", "left")
+    met = scored.join(own.select("query_id", "self_key"), "query_id", "left")
     return met.filter(~F.col("asset_key").eqNullSafe(F.col("self_key"))).drop("self_key")
