@@ -108,6 +108,22 @@ def c10_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", broken.alias("iscc_id"), codec.id_key(good).alias("asset_key"), codec.id_realm(good).alias("realm"), codec.id_error(broken, 0).alias("error"))
 
 
+def _signed_sql(i: int) -> str:
+    """Word i of the hex string h as a signed number."""
+    word = f"('0x' || substr(h, {1 + 16 * i}, 16))::ubigint::hugeint"
+    return f"(case when {word} > 9223372036854775807 then {word} - 18446744073709551616 else {word} end)::bigint"
+
+
+@query(
+    "c13_code_words",
+    "with d as (select doc_id, rpad(substr(sha256(text), 1, ((doc_id % 4 + 1) * 16)::int), 64, '0') as h from documents where text is not null) "
+    f"select doc_id, {', '.join(f'{_signed_sql(i)} as w{i}' for i in range(4))} from d",
+)
+def c13_code_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of 64 to 256 bits as four signed words."""
+    return fx.instance_units(spark, sf_dir).filter("body is not null").select(F.col("asset_key").alias("doc_id"), "w0", "w1", "w2", "w3")
+
+
 @query(
     "c14_chunk_pointers",
     """select o_orderkey, case when o_orderkey % 9 <> 0 then lower(lpad(to_hex(o_orderkey), 16, '0') || lpad(to_hex(o_custkey), 8, '0') || lpad(to_hex(o_orderkey % 97), 8, '0')) end as pointer,
@@ -317,6 +333,18 @@ def f9_search_segments_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "asset_key", F.round("score", 9).alias("score"), detail["matches"].alias("matches"), detail["queried"].alias("queried"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    "f12_chunk_details",
+    f"{WITH_SEGMENTS}, {EXACT_SQL} select q as query_id, k as asset_key, s as sp, f as freq, o as chunk_offset, z as chunk_size, 1.0::double as score from hits join df using (q, s)",
+)
+def f12_chunk_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matched segments behind each result of the exact segment search, with their frequencies."""
+    segments = fx.text_segments(spark, sf_dir)
+    asked = fx.query_segments(segments)
+    found = score.coverage_quality(match.segment_exact(segments, asked), asked, 0.0).select("query_id", "asset_key", F.explode("chunks").alias("c"))
+    return found.select("query_id", "asset_key", F.lower(F.hex("c.match")).alias("sp"), "c.freq", F.col("c.offset").alias("chunk_offset"), F.col("c.size").alias("chunk_size"), "c.score")
+
+
 NEAREST_SEGMENTS_SQL = """
 pair as (select q, p, qvs.s as qs, vs.k, vs.s, o, z, 1 - (bit_count(xor(('0x' || substr(vs.s, 1, 8))::bigint, ('0x' || substr(qvs.s, 1, 8))::bigint)) + bit_count(xor(('0x' || substr(vs.s, 9, 8))::bigint, ('0x' || substr(qvs.s, 9, 8))::bigint)))::double / 64 as sim from vs, qvs),
 ranked as (select *, row_number() over (partition by q, qs order by sim desc, k, o, z) as r from pair)
@@ -468,6 +496,16 @@ def b11_first_per_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.first_per_place(e).select("pos", "asset_key", F.col("offset").alias("chunk_offset"))
 
 
+@query(
+    "b13_entry_json",
+    """select doc_id, '{"key":' || doc_id || case when lang = 'en' then ',"source":"' || source || '"' else '' end || ',"units":["' || lang || '"]}' as entry from documents""",
+)
+def b13_entry_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fx.table(spark, sf_dir, "documents")
+    columns = [F.col("doc_id").alias("key"), F.when(F.col("lang") == "en", F.col("source")).alias("source"), F.array("lang").alias("units")]
+    return d.select("doc_id", upsert.entry_json(columns).alias("entry"))
+
+
 @query(
     "b16_rebuild_longest",
     """with u as (select user_id as k, event_type as t, (event_id % 4 + 1) * 64 as n, event_id as p, md5(event_id::varchar) as b from events)
@@ -583,6 +621,18 @@ def f15_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.reason_counts(ingest.classify(fx.log_records(spark, sf_dir), "testnet"))
 
 
+@query(
+    "i2_followed_state",
+    f"""with e as (select event_id, user_id, sha256(event_id::varchar) as h, row_number() over (partition by user_id order by event_id // 2 desc, event_id % 2 desc) as r from events where event_id % 7 in (0, 1, 2)),
+x as (select (user_id + 5000) << 12 as k, '5001' || substr(h, 1, 16) || substr(h, 17, 16) || substr(h, 1, 16) as code from e where r = 1)
+select k as asset_key, 'ISCC:' || {fx.base32_sql("code")} as iscc_code from x""",
+)
+def i2_followed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an index holds after both logs are read: of each asset the record with the greatest place."""
+    entries = ingest.classify(fx.log_records(spark, sf_dir), "testnet").filter("reason = 'ok'")
+    return upsert.last_of_batch(entries.withColumn("pos", F.struct("leaf_index", "hub_id"))).select("asset_key", "iscc_code")
+
+
 @query(
     "c20_log_entries",
     f"""with e as (select *, sha256(event_id::varchar) as h from events where event_id % 7 in (0, 1, 2)),

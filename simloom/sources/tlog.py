@@ -13,10 +13,23 @@ from pyspark.sql import functions as F
 WIDTH = 256
 
 
+def _parsed(text: str) -> dict:
+    try:
+        return json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ImportError:
+            raise ValueError("the hub list is not JSON, and no YAML reader is installed") from None
+        return yaml.safe_load(text)
+
+
 def hub_list(spark: SparkSession, path: str, network: str) -> DataFrame:
-    """(hub_id, url) of the active hubs of a JSON hub list, {version, network, hubs: [...]}; another network is an error."""
-    text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
-    listed = json.loads(text)
+    """(hub_id, url) of the active hubs of a hub list, {version, network, hubs: [...]}; another network is an error.
+
+    The list is JSON, or YAML where a YAML reader is installed.
+    """
+    listed = _parsed("".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
     if listed.get("network") != network:
         raise ValueError(f"the hub list is for {listed.get('network')!r}, not {network!r}")
     rows = [(h["hub_id"], h["url"].rstrip("/"), bool(h.get("active"))) for h in listed["hubs"]]
