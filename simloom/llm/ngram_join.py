@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, materialise
+from .common import arrow_rows, bounded, materialise
 from .wordhash import Words, chunks, lists
 
 K = 5
@@ -56,6 +56,8 @@ COUNTED = 0.4
 CHUNK = 256
 BLOCK = 128
 CLUSTER = 256
+#: Rows of an Arrow batch; a row may hold a long text or a large set.
+ARROW_ROWS = 1000
 #: Pairs a row up to which a group's pairs are formed.
 PAIRS_A_ROW = 64
 
@@ -393,8 +395,12 @@ def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, frequent: int = FREQUENT, most_frequent: int = MOST_FREQUENT
 ) -> DataFrame:
     """Columns: id, n_shingles, component_id (the least id reachable by links, itself included)."""
-    spark = docs.sparkSession
-    texts = _texts(docs, id_col, text_col)
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):  # all jobs with Python run before this returns
+        return _components_of(_texts(docs, id_col, text_col), id_col, k, percent, frequent, most_frequent)
+
+
+def _components_of(texts: DataFrame, id_col: str, k: int, percent: int, frequent: int, most_frequent: int) -> DataFrame:
+    spark = texts.sparkSession
     common = spark.sparkContext.broadcast(frequent_shingles(texts, k, frequent, most_frequent))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
