@@ -156,8 +156,8 @@ def _code_units(digest: Column) -> Column:
     return F.when(sub == WIDE, wide).otherwise(F.array_compact(F.array(*dynamic, *static)))
 
 
-def decompose(digest: Column, most: int = 16) -> Column:
-    """Unit digests of a composite code or of a sequence of unit digests (at most `most` of them)."""
+def decompose(digest: Column) -> Column:
+    """Unit digests of a composite code or of a sequence of unit digests."""
     empty = F.array().cast("array<binary>")
 
     def step(state: Column, _: Column) -> Column:
@@ -169,7 +169,9 @@ def decompose(digest: Column, most: int = 16) -> Column:
         return F.struct(left.alias("rest"), out.alias("out"))
 
     start = F.struct(F.coalesce(digest, F.lit(b"")).alias("rest"), empty.alias("out"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda s: s["out"])
+    # A unit has six bytes at least, which bounds the steps.
+    most = F.greatest(F.lit(1), F.floor(F.coalesce(F.octet_length(digest), F.lit(0)) / 6).cast("int"))
+    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["out"])
 
 
 def compose(units: Column) -> Column:
