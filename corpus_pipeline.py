@@ -26,8 +26,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their source's boilerplate lines; n_chars follows a changed text."""
-    out = line_dedup.drop_boilerplate(docs, F.col("source"))
+    """All documents, without their source's boilerplate lines and repeated passages; n_chars follows a changed text."""
+    out = line_dedup.drop_boilerplate(docs, F.col("source"), long_permille=line_dedup.LONG_PERMILLE)
     changed = F.col("__ld_n_lines") != F.col("__ld_n_kept")
     n_chars = F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*docs.columns)

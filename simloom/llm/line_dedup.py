@@ -6,8 +6,11 @@ such pages divided by the host's pages. A line is boilerplate on a host where at
 host. Counts cover all pages: a line is counted once a page, summed in map tasks before the
 shuffle, so a line that a third of all rows share costs one row a task.
 
-A host has at most (lines a page on average) / ratio boilerplate lines, so they are gathered in
-one array a host. The arrays are broadcast if the hosts were counted to be few, else joined with
+Lines of over LONG_WORDS words are seldom repeated by chance. With `long_permille` such a line has
+a bar of its own: that share of the host's pages, in thousandths, and still `min_pages`.
+
+A host has at most (lines a page on average) / ratio boilerplate lines (of either length, by its
+own ratio), so they are gathered in one array a host. The arrays are broadcast if the hosts were counted to be few, else joined with
 the pages by host and a salt of the row, which spreads a hot host over `salts` tasks.
 
 Nulls: a null text stays null and holds no line; a null host is a host of its own; blank lines
@@ -24,6 +27,9 @@ from .common import materialise
 
 RATIO_PERCENT = 10
 MIN_PAGES = 3
+#: Lines of more words are passages; the bar for them where one is asked for.
+LONG_WORDS = 50
+LONG_PERMILLE = 5
 #: Hosts whose boilerplate may be broadcast.
 BROADCAST_HOSTS = 10_000
 BLANKS = " \t\r"
@@ -43,21 +49,32 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def boilerplate(pages: DataFrame, host: Column, text: Column, percent: int = RATIO_PERCENT, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: Column, text: Column, percent: int = RATIO_PERCENT, min_pages: int = MIN_PAGES, long_permille: int | None = None) -> DataFrame:
     """(host_, lines_): each host's boilerplate lines; hosts without any are left out."""
     own = pages.select(host.alias("host_"), F.array_distinct(F.transform(F.coalesce(_lines(text), F.array().cast("array<string>")), _key)).alias("own_"))
     totals = own.groupBy("host_").agg(F.count("*").alias("pages_"))
     lines = own.select("host_", F.explode("own_").alias("line_")).filter("line_ <> ''").groupBy("host_", "line_").agg(F.count("*").alias("with_")).filter(F.col("with_") >= min_pages)
     lines, totals = lines.alias("l"), totals.alias("t")
-    common = lines.join(totals, F.col("l.host_").eqNullSafe(F.col("t.host_"))).filter(F.col("with_") * 100 > F.col("pages_") * percent)
+    enough = F.col("with_") * 100 > F.col("pages_") * percent
+    if long_permille is not None:
+        passage = F.size(F.split("line_", r"\s+")) > LONG_WORDS
+        enough = enough | (passage & (F.col("with_") * 1000 > F.col("pages_") * long_permille))
+    common = lines.join(totals, F.col("l.host_").eqNullSafe(F.col("t.host_"))).filter(enough)
     return common.groupBy(F.col("l.host_").alias("host_")).agg(F.sort_array(F.collect_list("line_")).alias("lines_"))
 
 
 def drop_boilerplate(
-    pages: DataFrame, host: Column, text_col: str = "text", percent: int = RATIO_PERCENT, min_pages: int = MIN_PAGES, salts: int = 32, broadcast_hosts: int = BROADCAST_HOSTS
+    pages: DataFrame,
+    host: Column,
+    text_col: str = "text",
+    percent: int = RATIO_PERCENT,
+    min_pages: int = MIN_PAGES,
+    salts: int = 32,
+    broadcast_hosts: int = BROADCAST_HOSTS,
+    long_permille: int | None = None,
 ) -> DataFrame:
     """pages with the boilerplate lines gone from text_col, with __ld_n_lines and __ld_n_kept (lines before and after)."""
-    found = materialise(boilerplate(pages, host, F.col(text_col), percent, min_pages), "boilerplate").toDF("__ld_found_host", "__ld_lines")
+    found = materialise(boilerplate(pages, host, F.col(text_col), percent, min_pages, long_permille), "boilerplate").toDF("__ld_found_host", "__ld_lines")
     own = pages.withColumn("__ld_page_host", host)
     if found.count() <= broadcast_hosts:
         joined = own.join(F.broadcast(found), F.col("__ld_page_host").eqNullSafe(F.col("__ld_found_host")), "left")

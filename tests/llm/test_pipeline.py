@@ -99,3 +99,23 @@ def test_odd_rows_pass(spark, sf_dir):
         for _, stage in corpus_pipeline.STAGES[1:]:
             docs = materialise(stage(spark, docs, sf_dir), "odd")
         assert docs.count() in (0, 4)
+
+
+def test_repeated_passages_are_dropped(spark, sf_dir):
+    """Of 400 pages of one source: passages on 3 pages go, those on 2 and short lines on 3 stay."""
+    passage = {n: " ".join(f"p{n}w{i}" for i in range(60)) for n in range(8)}
+    pages = [[f"own line {d}"] for d in range(400)]
+    for n, line in passage.items():
+        for d in range(3 if n < 6 else 2):
+            pages[40 * n + d].append(line)
+    for d in range(3):
+        pages[d].append("short line")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(d, "\n".join(p), "en", "a", 0) for d, p in enumerate(pages)], schema)
+    kept = collections.Counter(line for r in corpus_pipeline.drop_repeated_lines(spark, docs, sf_dir).collect() for line in r.text.split("\n"))
+    assert [kept[passage[n]] for n in range(8)] == [0] * 6 + [2, 2]
+    assert kept["short line"] == 3 and sum(kept["own line %d" % d] for d in range(400)) == 400
+    # The bar follows the source's pages: 3 of 800 are too few.
+    more = docs.unionByName(docs.selectExpr("doc_id + 400 as doc_id", "concat('own line ', doc_id + 400) as text", "lang", "source", "n_chars"))
+    kept = collections.Counter(line for r in corpus_pipeline.drop_repeated_lines(spark, more, sf_dir).collect() for line in r.text.split("\n"))
+    assert [kept[passage[n]] for n in range(8)] == [3] * 6 + [2, 2]
