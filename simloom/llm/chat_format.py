@@ -7,10 +7,18 @@ loss mask, position ids (a node's positions follow its parent's last one, so sib
 them) and the text intervals it may attend to (its ancestors and itself, neighbours joined).
 Positions and spans count code points, or tokens if an `encode` function is given.
 
-A first turn that a third of all conversations share is dealt over several packs by a hash of
-the conversation id, so no task gathers it whole; each of its packs holds the shared turns once.
-Packs are formed from rows sorted inside partitions and written as they fill: a worker holds one
-pack at a time.
+First turns (prefixes, in general) that more than `pack` conversations share are hot. A hot prefix
+has a row of its own, which holds its last turn alone: one node, no leaves. The conversations below
+it are split by their next turn, again and again where that prefix is hot too, so a subtree that is
+not hot stays whole in one pack; small subtrees of one hot prefix share packs. Only conversations
+that end with a hot prefix, equal as a whole, are dealt by their ids. A pack names the rows of its
+hot prefixes, first turn first, in `roots`, and its texts start behind them; `offset` is their
+length. A turn of a tree is thus emitted once, in whatever packs its conversations are. A node in a
+pack attends to all of the roots' texts besides its own intervals, and its position in the tree is
+`offset` plus its position in the pack. A leaf of node -1 ends with the last root.
+
+No task gathers a hot tree whole. Packs are formed from rows sorted inside partitions and written
+as they fill: a worker holds one pack at a time.
 
 The template marks each turn by its role. Control strings inside texts and roles are escaped by
 a backslash after their first character, and backslashes are doubled, so reading back is exact.
@@ -36,8 +44,10 @@ CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<<TURN>>"
 FRAMES = {"user": ("<s>[INST] ", " [/INST]"), "assistant": (" ", " </s>"), "system": ("<<SYS>> ", " <</SYS>>")}
 #: Other roles: the role's name comes between the first two.
 OTHER = ("<<TURN>>", "\n", "<</TURN>>")
-#: Conversations of a pack on average, where a first turn has more.
+#: Conversations that share a prefix without a row of its own; those of a pack on average below a hot prefix.
 PACK = 32
+#: Rows of hot prefixes, with their texts, that may be broadcast.
+BROADCAST_ROOTS = 20_000
 
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 _TURN = re.compile(
@@ -46,7 +56,7 @@ _TURN = re.compile(
 
 PACK_SCHEMA = (
     "pack string, text string, nodes array<struct<parent:int, start:int, end:int, loss_start:int, loss_end:int, position:int, attends:array<struct<start:int, end:int>>>>, "
-    "leaves array<struct<conv_id:{id}, node:int>>, tokens array<int>"
+    "leaves array<struct<conv_id:{id}, node:int>>, tokens array<int>, roots array<string>, offset int"
 )
 
 
@@ -78,8 +88,15 @@ def read_turn(segment: str) -> tuple[str, str]:
     return unescape(m["role"]), unescape(m["other"])
 
 
-def build_pack(name: str, conversations: list[tuple], encode: Callable[[str], list[int]] | None = None) -> dict:
-    """One pack from (conv_id, [(role, text), ...]), all with the same first turn."""
+def build_pack(
+    name: str, conversations: list[tuple], encode: Callable[[str], list[int]] | None = None, roots: tuple[str, ...] = (), above: tuple[tuple[str, str], ...] = ()
+) -> dict:
+    """One pack from (conv_id, [(role, text), ...]).
+
+    roots are the names of the rows of the hot prefixes above it, above their turns, which the conversations leave out.
+    """
+    size = len if encode is None else lambda x: len(encode(x))
+    offset = sum(size(part) for turn in above for part in frame(*turn))
     children: list[dict] = [{}]  # of node i - 1; at 0 those of the root
     turns: list[tuple] = []
     ends: list[list] = [[]]
@@ -116,7 +133,7 @@ def build_pack(name: str, conversations: list[tuple], encode: Callable[[str], li
         length = end
         stack += [(child, here, position + end - start, attends) for child in reversed(children[node].values())]
     keys = ("parent", "start", "end", "loss_start", "loss_end", "position", "attends")
-    return {"pack": name, "text": "".join(text), "nodes": [dict(zip(keys, n, strict=True)) for n in nodes], "leaves": [{"conv_id": c, "node": n} for c, n in leaves], "tokens": tokens}
+    return {"pack": name, "text": "".join(text), "nodes": [dict(zip(keys, n, strict=True)) for n in nodes], "leaves": [{"conv_id": c, "node": n} for c, n in leaves], "tokens": tokens, "roots": list(roots), "offset": offset}
 
 
 def conversations_of(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -127,33 +144,61 @@ def conversations_of(rows: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
 
 def pack_conversations(conversations: DataFrame, pack: int = PACK, encode: Callable[[str], list[int]] | None = None) -> DataFrame:
-    """Packs (PACK_SCHEMA) of rows (conv_id, turns)."""
+    """Packs (PACK_SCHEMA) of rows (conv_id, turns), a row a conversation."""
     id_type = conversations.schema["conv_id"].dataType.simpleString()
-    first = F.sha2(F.concat_ws("\n", F.col("turns")[0]["role"], F.col("turns")[0]["text"]), 256)
-    rows = conversations.withColumn("first", first)
-    # One slim row a first turn; counts are summed before the shuffle.
-    shared = rows.groupBy("first").agg(F.count("*").alias("n")).filter(F.col("n") > pack).select(F.col("first").alias("hot"), F.ceil(F.col("n") / pack).cast("int").alias("packs"))
-    # One row for every `pack` conversations at most; broadcast once counted to be few.
-    shared = bounded(materialise(shared, "hot-first-turns"))
-    rows = rows.join(shared, rows["first"] == shared["hot"], "left")
-    deal = F.pmod(F.xxhash64("conv_id"), F.coalesce("packs", F.lit(1))).cast("string")
-    rows = rows.select("conv_id", "turns", F.concat_ws("-", "first", deal).alias("pack"))
+    # A prefix is named by a hash of the name before it and its last turn; the role's length keeps role and text apart.
+    names = F.aggregate(
+        "turns",
+        F.array().cast("array<string>"),
+        lambda so_far, t: F.concat(so_far, F.array(F.sha2(F.concat_ws("\n", F.get(so_far, F.size(so_far) - 1), F.char_length(t["role"]).cast("string"), t["role"], t["text"]), 256))),
+    )
+    rows = conversations.withColumn("names", names)
+    prefixes = rows.select("conv_id", F.posexplode("names").alias("at", "prefix"), "names").withColumn("parent", F.get("names", F.col("at") - 1))
+    # One slim row a prefix; counts are summed before the shuffle. The conversation of the least id writes the prefix's row.
+    hot = prefixes.groupBy("prefix").agg(F.count("*").alias("n"), F.min("conv_id").alias("writer"), F.max("parent").alias("parent")).filter(F.col("n") > pack)
+    hot = materialise(hot, "hot-prefixes")
+    below = hot.groupBy(F.col("parent").alias("above")).agg(F.sum("n").alias("below"))
+    hot = hot.join(below, hot["prefix"] == below["above"], "left")
+    hot = hot.select(F.col("prefix").alias("hot"), "writer", F.ceil((F.col("n") - F.coalesce("below", F.lit(0))) / pack).cast("int").alias("packs"))
+    # One row for every `pack` turns at most; broadcast once counted to be few.
+    hot = bounded(materialise(hot, "hot-packs"))
+    whole = F.when(F.coalesce("at", F.lit(0)) == 0, F.struct("turns", "names")).alias("whole")
+    found = rows.select("conv_id", "turns", "names", F.posexplode_outer("names").alias("at", "prefix")).select("conv_id", "at", "prefix", whole)
+    rows = (
+        found.join(hot, found["prefix"] == hot["hot"], "left")
+        .groupBy("conv_id")
+        .agg(
+            F.first("whole", ignorenulls=True).alias("whole"),
+            F.count("hot").cast("int").alias("depth"),
+            F.max_by("packs", F.when(F.col("hot").isNotNull(), F.col("at"))).alias("packs"),
+            F.collect_list(F.when(F.col("writer") == F.col("conv_id"), F.col("at"))).alias("writes"),
+        )
+        .select("conv_id", "whole.turns", "whole.names", "depth", "packs", "writes")
+    )
+    # Below a hot prefix, whole subtrees are dealt over as many packs as their conversations fill.
+    following = F.get("names", F.col("depth"))
+    deal = F.pmod(F.when(following.isNull(), F.xxhash64("conv_id")).otherwise(F.xxhash64(following)), F.greatest("packs", F.lit(1)))
+    deal = F.when(F.col("depth") > 0, deal).otherwise(0).cast("string")
+    head = F.get("names", F.greatest(F.col("depth") - 1, F.lit(0)))
+    rows = rows.select("conv_id", "turns", F.slice("names", F.lit(1), F.col("depth")).alias("roots"), "writes", F.concat_ws("-", head, deal).alias("pack"))
     rows = rows.repartition("pack").sortWithinPartitions("pack", "conv_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, held, done = None, [], []
+        name, above, roots, held, done = None, (), (), [], []
         for frame_ in frames:
-            for conv, turns, key in zip(frame_["conv_id"], frame_["turns"], frame_["pack"], strict=True):
+            for conv, turns, names_, writes, key in zip(frame_["conv_id"], frame_["turns"], frame_["roots"], frame_["writes"], frame_["pack"], strict=True):
                 if key != name and held:
-                    done.append(build_pack(name, held, encode))
+                    done.append(build_pack(name, held, encode, roots, above))
                     held = []
-                name = key
-                held.append((None if pd.isna(conv) else conv, [(t["role"], t["text"]) for t in turns]))
+                turns, roots, name = [(t["role"], t["text"]) for t in turns], tuple(names_), key
+                above = tuple(turns[: len(roots)])
+                held.append((None if pd.isna(conv) else conv, turns[len(roots) :]))
+                done += [build_pack(roots[at], [(None, [turns[at]])], encode, roots[:at], above[:at]) | {"leaves": []} for at in writes]
                 if len(done) >= 200:
                     yield pd.DataFrame(done)
                     done = []
         if held:
-            done.append(build_pack(name, held, encode))
+            done.append(build_pack(name, held, encode, roots, above))
         if done:
             yield pd.DataFrame(done)
 
@@ -161,23 +206,31 @@ def pack_conversations(conversations: DataFrame, pack: int = PACK, encode: Calla
 
 
 def read_packs(packs: DataFrame) -> DataFrame:
-    """(conv_id, turns, loss, formatted_chars) read back from packs made without `encode`.
+    """(conv_id, turns, loss, formatted_chars) read back from packs made without `encode`; best stored, as they are read thrice.
 
     loss is the array of unescaped texts under the loss mask, formatted_chars the length of the
-    conversation's path in the pack.
+    conversation's path through its roots and its pack.
     """
+    leafy = F.size("leaves") > 0
+    roots = packs.filter(~leafy).select(F.col("pack").alias("root"), F.col("text").alias("root_text"))
+    links = packs.filter(leafy).select("pack", F.posexplode("roots").alias("at", "root")).join(bounded(roots, BROADCAST_ROOTS), "root")
+    links = links.groupBy("pack").agg(F.sort_array(F.collect_list(F.struct("at", "root_text"))).alias("above"))
+    own = packs.filter(leafy).join(links, "pack", "left").select("text", "nodes", "leaves", F.coalesce(F.col("above.root_text"), F.array().cast("array<string>")).alias("above"))
     id_type = packs.schema["leaves"].dataType.elementType["conv_id"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame_ in frames:
-            for text, nodes, leaves in zip(frame_["text"], frame_["nodes"], frame_["leaves"], strict=True):
+            for text, nodes, leaves, above in zip(frame_["text"], frame_["nodes"], frame_["leaves"], frame_["above"], strict=True):
                 out, read = [], {}
+                shared = [read_turn(t) for t in above]
                 for leaf in leaves:
                     path, at = [], leaf["node"]
                     while at >= 0:
                         path.append(at)
                         at = nodes[at]["parent"]
-                    turns, loss, chars = [], [], 0
+                    turns = [{"role": role, "text": said} for role, said in shared]
+                    loss = [said for role, said in shared if role == "assistant"]
+                    chars = sum(map(len, above))
                     for i in reversed(path):
                         node = nodes[i]
                         if i not in read:
@@ -189,4 +242,4 @@ def read_packs(packs: DataFrame) -> DataFrame:
                     out.append({"conv_id": leaf["conv_id"], "turns": turns, "loss": loss, "formatted_chars": chars})
                 yield pd.DataFrame(out)
 
-    return packs.select("text", "nodes", "leaves").mapInPandas(run, f"conv_id {id_type}, turns array<struct<role:string, text:string>>, loss array<string>, formatted_chars long")
+    return own.mapInPandas(run, f"conv_id {id_type}, turns array<struct<role:string, text:string>>, loss array<string>, formatted_chars long")

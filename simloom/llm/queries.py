@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, line_dedup, mixing, ngram_join, pii, quality, secrets, spotsigs, token_counts
-from .common import sha_hex, table
+from .common import materialise, sha_hex, table
 
 LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -83,7 +83,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "</s>[INST] ok [/INST]"
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema))
-    packs = chat_format.pack_conversations(chat_format.conversations_of(rows))
+    packs = materialise(chat_format.pack_conversations(chat_format.conversations_of(rows)), "packs")
     turn = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     loss = F.array_join("loss", "")
     return chat_format.read_packs(packs).select(

@@ -194,6 +194,26 @@ def test_chat_shares_first_turns(spark):
     assert len(units["tokens"]) == units["nodes"][-1]["end"]
 
 
+def test_hot_chat_tree_emits_each_turn_once(spark):
+    """300 conversations of one first turn, with shared turns below and 40 that are equal, in packs of 8."""
+    turns = {c: [("user", "hi"), ("assistant", f"a{c % 3}"), ("user", f"b{c % 12}"), ("assistant", f"own {c // 4}")][: 2 if c % 3 == 2 else 4] for c in range(300)}
+    turns |= {c: [("user", "hi"), ("assistant", "a0"), ("user", "same")] for c in range(300, 340)}
+    rows = [(c, i, *t) for c, own in turns.items() for i, t in enumerate(own)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    frame_ = chat_format.pack_conversations(chat_format.conversations_of(table), pack=8)
+    packs = {p.pack: p for p in frame_.collect()}
+    prefixes = {tuple(own[: i + 1]) for own in turns.values() for i in range(len(own))}
+    assert sum(len(p.nodes) for p in packs.values()) == len(prefixes)
+    assert sum(p.text.count("[INST] hi [/INST]") for p in packs.values()) == 1
+    assert sorted(leaf.conv_id for p in packs.values() for leaf in p.leaves) == sorted(turns)
+    assert max(len(p.leaves) for p in packs.values()) < 40
+    for p in packs.values():
+        assert p.offset == sum(len(packs[r].text) for r in p.roots)
+        assert all(packs[r].roots == p.roots[:i] for i, r in enumerate(p.roots))
+    back = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat_format.read_packs(frame_).collect()}
+    assert back == turns
+
+
 def test_token_count_edges(spark, odd, none):
     import public_tokenizers
 
