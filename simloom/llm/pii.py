@@ -9,8 +9,11 @@ lexical patterns; patterns and instances form a bipartite graph that is scored i
 * an unseen value's score for a kind is the greatest score of the patterns it occurs in, if it has
   the loose shape of that kind.
 
-After `rounds` rounds the patterns of at least `confidence` are kept, and every loosely shaped
-token in such a pattern that overlaps no base span is reported as ctx_<kind>. Counts cover all
+After `rounds` rounds at least, and as many more as add a pattern or make one confident, the
+patterns of at least `confidence` are kept, and every loosely shaped candidate in such a pattern
+that overlaps no base span is reported as ctx_<kind>. Candidates are tokens without blanks, and
+groups of digits joined by a blank (or hyphen, dot, slash, brackets) each. A group of a loose shape
+takes the place of the tokens in it; its context is what stands before the whole group. Counts cover all
 documents; they are summed in map tasks before the shuffle, so a common context costs a row a
 value and task. DataFrame functions only.
 
@@ -35,6 +38,8 @@ KINDS = [
 ]
 #: Tokens with a digit or an at sign: what contexts are asked about.
 TOKEN = Kind("token", r"(?<![^\x00-\x20])[^\x00-\x20@0-9]*+[@0-9][^\x00-\x20]*+", "[@0-9]")
+#: Groups of digits, joined as in the card and phone patterns; those with a blank are candidates.
+GROUP = Kind("group", r"(?<![\p{L}\p{N}@+(._/#-])[A-Z]{0,4}+\(?+[0-9]++(?![\p{L}@_])\)?+(?:[\x20./-]?+\(?+[0-9]++(?![\p{L}@_])\)?+)++", r"[0-9]\)?\x20\(?[0-9]")
 BASE = [k.name for k in KINDS]
 #: Loose shapes: what may be an unseen identifier of the kind.
 SHAPES = {
@@ -43,6 +48,10 @@ SHAPES = {
     "card": r"^[A-Z]{0,4}[0-9](?:[-/]?[0-9]){8,24}$",
     "phone": r"^\(?[0-9][0-9()./-]{5,18}[0-9]$",
 }
+GROUP_SHAPES = {
+    "card": r"^[A-Z]{0,4}[0-9](?:[\x20/-]?[0-9]){8,24}$",
+    "phone": r"^\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,14}\)?$",
+}
 CONTEXT = 64
 SUPPORT = 3
 CONFIDENCE = 0.8
@@ -85,36 +94,47 @@ def _confident(seeds: DataFrame, unseen: DataFrame, support: int, confidence: fl
     totals = seeds.select("context", "value").union(unseen.select("context", "value")).distinct().groupBy("context").agg(F.count("*").alias("n"))
     shaped = unseen.select("context", "value", F.explode("kinds").alias("kind"))
     scored = seeds
-    patterns = None
-    for _ in range(rounds):
+    before, done = (0, 0), 0
+    while True:
         sums = scored.groupBy("context", "kind").agg(F.sum("score").alias("s"), F.count(F.when(F.col("score") >= confidence, 1)).alias("behind"))
         patterns = sums.filter(F.col("behind") >= support).join(totals, "context").select("context", "kind", (F.col("s") / F.col("n")).alias("p"))
         patterns = materialise(patterns, "pii-patterns")
+        # Scores only rise, so patterns are only added; equal counts are equal sets.
+        now = tuple(patterns.agg(F.count("*"), F.count(F.when(F.col("p") >= confidence, 1))).first())
+        done += 1
+        if done >= rounds and now[0] <= before[0] and now[1] <= before[1]:
+            return patterns.filter(F.col("p") >= confidence).select("context", "kind")
+        before = now
         reached = shaped.join(bounded(patterns), ["context", "kind"]).groupBy("kind", "value").agg(F.max("p").alias("score"))
         more = shaped.join(reached, ["kind", "value"]).select("context", "kind", "value", "score")
         scored = seeds.unionByName(more)
-    return patterns.filter(F.col("p") >= confidence).select("context", "kind")
 
 
 def find_pii(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS
 ) -> DataFrame:
     """Columns: id, n_email, n_ip, n_card, n_phone, base, spans (kind:start:end, comma-joined)."""
-    scanned = scan(docs, id_col, text_col, [*KINDS, TOKEN], CONTEXT)
+    scanned = scan(docs, id_col, text_col, [*KINDS, TOKEN, GROUP], CONTEXT)
     found = positions(scanned)
-    token = F.col("kind") == TOKEN.name
+    token, group = F.col("kind") == TOKEN.name, F.col("kind") == GROUP.name
+    candidate = token | group
     # A token's span leaves out the punctuation around it.
     lead = F.when(token, F.char_length(F.regexp_extract("value", r"^[^\p{L}\p{N}@+(\[]*+", 0))).otherwise(0)
     core = F.when(token, F.regexp_extract("value", r"^[^\p{L}\p{N}@+(\[]*+(.*?)[^\p{L}\p{N})]*$", 1)).otherwise(F.col("value"))
-    found = found.filter(token | holds(F.col("kind"), F.col("value"))).withColumn("core", core).withColumn("start", F.col("start") + lead)
-    found = found.withColumn("end", F.col("start") + F.char_length("core")).withColumn("covered", overlaps_any(~token))
-    shapes = F.array_compact(F.array(*(F.when(token & F.col("core").rlike(p), F.lit(k)) for k, p in SHAPES.items())))
-    found = found.filter(~token | (~F.col("covered") & (F.col("core") != "")))
-    found = materialise(found.select("row_", "order", "kind", "start", "end", F.col("core").alias("value"), _contexts(F.col("before")).alias("contexts"), shapes.alias("kinds")), "pii-mentions")
+    found = found.filter(F.when(group, F.contains("value", F.lit(" "))).otherwise(token | holds(F.col("kind"), F.col("value"))))
+    found = found.withColumn("core", core).withColumn("start", F.col("start") + lead)
+    found = found.withColumn("end", F.col("start") + F.char_length("core")).withColumn("covered", overlaps_any(~candidate))
+    shaped = [F.when(token & F.col("core").rlike(p), F.lit(k)) for k, p in SHAPES.items()] + [F.when(group & F.col("core").rlike(p), F.lit(k)) for k, p in GROUP_SHAPES.items()]
+    found = found.withColumn("kinds", F.array_compact(F.array(*shaped)))
+    found = found.filter(~candidate | (~F.col("covered") & (F.col("core") != ""))).filter(~group | (F.size("kinds") > 0))
+    found = found.withColumn("grouped", overlaps_any(group)).filter(~token | ~F.col("grouped"))
+    # A group's gap may hold tokens, which end contexts.
+    before = F.when(group, F.regexp_replace("before", r"(?s)^.*[@0-9][^\x00-\x20]*+", "")).otherwise(F.col("before"))
+    found = materialise(found.select("row_", "order", "kind", "start", "end", F.col("core").alias("value"), _contexts(before).alias("contexts"), "kinds"), "pii-mentions")
     mentions = found.select("row_", "order", "kind", "start", "end", "value", "kinds", F.explode("contexts").alias("context"))
-    patterns = _confident(mentions.filter(~token).select("context", "kind", "value"), mentions.filter(token).select("context", "value", "kinds"), support, confidence, rounds)
-    shaped = mentions.filter(token).select("row_", "start", "end", "context", F.explode("kinds").alias("kind"))
+    patterns = _confident(mentions.filter(~candidate).select("context", "kind", "value"), mentions.filter(candidate).select("context", "value", "kinds"), support, confidence, rounds)
+    shaped = mentions.filter(candidate).select("row_", "start", "end", "context", F.explode("kinds").alias("kind"))
     orders = F.create_map(*(x for i, k in enumerate(SHAPES) for x in (F.lit(k), F.lit(len(KINDS) + i))))
     new = shaped.join(bounded(materialise(patterns, "pii-confident")), ["context", "kind"]).select("row_", orders[F.col("kind")].alias("order"), F.concat(F.lit("ctx_"), "kind").alias("kind"), "start", "end").distinct()
-    spans = found.filter(~token).select("row_", "order", "kind", "start", "end").unionByName(new)
+    spans = found.filter(~candidate).select("row_", "order", "kind", "start", "end").unionByName(new)
     return per_document(scanned, spans, BASE, id_col)

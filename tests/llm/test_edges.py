@@ -125,6 +125,24 @@ def test_pii_bootstrap(spark, odd, none):
     assert len(pii.find_pii(odd).collect()) == 9 and pii.find_pii(none).count() == 0
 
 
+def test_pii_in_groups(spark):
+    """Candidates written in groups: phones without a country code, cards that fail Luhn."""
+    texts = [f"phone +1 (437) 555-060{i}" for i in range(9)] + ["phone (437) 555-0689", "phone 0171 2345 678 and more", "bought (437) 555-0690"]
+    cards = [n for n in range(4111111111111000, 4111111111111200) if sum(int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(str(n))) % 10 == 0]
+    four = lambda n: " ".join(str(n)[i : i + 4] for i in range(0, 16, 4))
+    texts += [f"card {four(n)}" for n in cards[:9]] + [f"card {four(cards[0] + 1)}, thanks", "in 12 rooms 4 of 9"]
+    found = [r.spans for r in sorted(pii.find_pii(frame(spark, list(enumerate(texts)))).collect())]
+    assert found[9:12] == ["ctx_phone:6:20", "ctx_phone:6:19", ""]
+    assert all(s.startswith("card:") for s in found[12:21]) and found[21:] == ["ctx_card:5:24", ""]
+
+
+def test_pii_goes_on_until_stable(spark):
+    """alpha makes beta confident in the second round, and beta gamma in the third."""
+    texts = [f"alpha +1 (201) 555-01{i}" for i in range(10, 30)] + ["alpha 555-7001", "beta 555-7001", "beta 555-7002", "gamma +1 (202) 555-0177", "gamma 555-7002", "gamma 555-7003"]
+    found = {r.doc_id: r.spans for r in pii.find_pii(frame(spark, list(enumerate(texts))), support=1, confidence=0.6).collect()}
+    assert found[25] == "ctx_phone:6:14"
+
+
 def test_quality_edges(spark, odd, none):
     labels = frame(spark, [(3, 1, 0), (5, 0, 0), (None, 1, 0), (7, None, 0), (7, 0, 1)], "doc_id long, quality int, toxic int")
     model = quality.fit(odd, labels)
