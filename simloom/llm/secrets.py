@@ -36,8 +36,8 @@ STRONG = [
     Kind("hex", "[0-9a-f]{24,}+", "[0-9a-f]{24}"),
 ]
 WEAK = [
-    Kind("ident", rf"(?i:client_?id|account_?id|access_?key_?id|app_?id|tenant_?id|user_?name|login|user){_SET}[A-Za-z0-9][A-Za-z0-9@._+-]{{2,63}}"),
-    Kind("token", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,200}?[0-9])(?=[A-Za-z0-9+/_-]{0,200}?[A-Z])(?=[A-Za-z0-9+/_-]{0,200}?[a-z])[A-Za-z0-9+/_-]{24,200}+={0,2}(?![A-Za-z0-9+/_-])", "[A-Za-z0-9+/_-]{24}"),
+    Kind("ident", rf"(?i:client_?id|account_?id|access_?key_?id|app_?id|tenant_?id|user_?name|login|user){_SET}[A-Za-z0-9][A-Za-z0-9@._+-]{{2,}}+"),
+    Kind("token", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/_-])", "[A-Za-z0-9+/_-]{24}"),
     Kind("endpoint", r"[a-z][a-z0-9+]{1,15}://[A-Za-z0-9.-]+(?::[0-9]{1,5})?[A-Za-z0-9/_.~%?&=#-]*", "://"),
 ]
 BASE = [k.name for k in STRONG]
