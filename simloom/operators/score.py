@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 from simloom.functions.codec import unsigned_order
 
+#: Digits of a score that count where scores are ranked or held against a threshold.
+DIGITS = 9
+
+
+def exact_sum(column: Column) -> Column:
+    """Sum of doubles as decimals of 15 places: the order in which rows arrive does not change its last bits."""
+    return F.sum(column.cast("decimal(38,15)")).cast("double")
+
+
+def settled(score: Column | str) -> Column:
+    """A score as it is ranked: scores that are equal but for rounding errors are ties."""
+    return F.round(score, DIGITS)
+
 
 def best_per_type(matches: DataFrame) -> DataFrame:
     """(query_id, asset_key, unit_type, score): the greatest score over a query's units of a type."""
@@ -21,7 +34,7 @@ def confidence(per_type: DataFrame, threshold: float = 0.75, exponent: int = 4)
     enough = F.col("score") >= threshold
     s = F.when(enough, F.col("score"))
     grouped = per_type.groupBy("query_id", "asset_key").agg(
-        (F.sum(F.pow(s, F.lit(float(exponent)))) / F.sum(s)).alias("confidence"),
+        (exact_sum(F.pow(s, F.lit(float(exponent)))) / exact_sum(s)).alias("confidence"),
         F.count(s).alias("n"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("unit_type", "score")))).alias("types"),
     )
@@ -39,7 +52,7 @@ def mean_over_queried(matches: DataFrame, queries: DataFrame) -> DataFrame:
     best = matches.groupBy("query_id", "asset_key", "unit_type").agg(F.max("matched_bits").alias("bits"))
     scored = best.join(asked, ["query_id", "unit_type"]).withColumn("score", F.col("bits") / F.col("q_bits"))
     return scored.groupBy("query_id", "asset_key").agg(
-        (F.sum("score") / F.first("n_units")).alias("score"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("unit_type", "score")))).alias("types")
+        (exact_sum(F.col("score")) / F.max("n_units")).alias("score"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("unit_type", "score")))).alias("types")
     )
 
 
@@ -78,13 +91,13 @@ def idf_weighted(matches: DataFrame, queries: DataFrame, freqs: DataFrame, total
         return met.withColumn(name, F.coalesce("freq", F.lit(0))).drop("f_type", "f_sp", "freq")
 
     asked = with_freq(queries, "sp", "q_freq").withColumn("q_idf", idf(F.col("q_freq"), float(total)))
-    totals = asked.groupBy("query_id", "sp_type").agg(F.sum("q_idf").alias("q_total"), F.count("*").alias("queried"))
+    totals = asked.groupBy("query_id", "sp_type").agg(exact_sum(F.col("q_idf")).alias("q_total"), F.count("*").alias("queried"))
     best = with_freq(best, "sp", "m_freq").withColumn("m_idf", idf(F.col("m_freq"), float(total)))
     best = best.join(asked.select("query_id", "sp_type", "sp_pos", "q_idf"), ["query_id", "sp_type", "sp_pos"])
     chunk = F.struct("q_sp", F.col("sp").alias("match"), "score", F.col("m_freq").alias("freq"), "offset", "size")
     per = best.groupBy("query_id", "sp_type", "asset_key").agg(
-        F.sum(F.col("m_idf") * F.col("score")).alias("gained"),
-        F.sum(F.col("m_idf") - F.col("q_idf")).alias("change"),
+        exact_sum(F.col("m_idf") * F.col("score")).alias("gained"),
+        exact_sum(F.col("m_idf") - F.col("q_idf")).alias("change"),
         F.countDistinct("sp_pos").alias("matches"),
         F.sort_array(F.collect_list(chunk)).alias("chunks"),
     )
@@ -104,30 +117,30 @@ def coverage_quality(matches: DataFrame, queries: DataFrame, threshold: float =
     freqs = matches.groupBy("query_id", "sp_type", "sp").agg(F.countDistinct("asset_key").alias("freq"))
     rows = matches.join(freqs, ["query_id", "sp_type", "sp"])
     chunk = F.struct(F.col("sp").alias("q_sp"), F.col("sp").alias("match"), F.lit(1.0).alias("score"), "freq", "offset", "size")
-    each = rows.groupBy("query_id", "sp_type", "asset_key", "sp").agg(F.first("freq").alias("freq"), F.count("*").alias("n"), F.collect_list(chunk).alias("chunks"))
+    each = rows.groupBy("query_id", "sp_type", "asset_key", "sp").agg(F.max("freq").alias("freq"), F.count("*").alias("n"), F.collect_list(chunk).alias("chunks"))
     rare = 1 / F.col("freq")
     per = each.groupBy("query_id", "sp_type", "asset_key").agg(
         F.count("*").alias("found"),
         F.sum("n").alias("matches"),
-        F.avg(rare).alias("mean"),
+        (exact_sum(rare) / F.count("*")).alias("mean"),
         F.min(rare).alias("least"),
         F.max(rare).alias("most"),
         F.sort_array(F.flatten(F.collect_list("chunks"))).alias("chunks"),
     )
     quality = F.when(F.col("least") == F.col("most"), 1.0).otherwise((F.col("mean") - F.col("least")) / (F.col("most") - F.col("least")))
     per = per.join(asked, ["query_id", "sp_type"]).withColumn("score", F.col("found") / F.col("queried") * quality)
-    return per.filter(F.col("score") >= threshold).select("query_id", "sp_type", "asset_key", "score", "matches", "queried", "chunks")
+    return per.filter(settled("score") >= threshold).select("query_id", "sp_type", "asset_key", "score", "matches", "queried", "chunks")
 
 
 def mean_over_types(per_type: DataFrame) -> DataFrame:
     """(query_id, asset_key, score, types): the mean of the matched segment types' scores."""
     entry = F.struct("sp_type", F.struct("score", "matches", "queried", "chunks").alias("detail"))
-    return per_type.groupBy("query_id", "asset_key").agg(F.avg("score").alias("score"), F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("types"))
+    return per_type.groupBy("query_id", "asset_key").agg((exact_sum(F.col("score")) / F.count("*")).alias("score"), F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("types"))
 
 
 def top_k(scored: DataFrame, k: int, partition: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """The k best rows of each query, equals by key, with their rank."""
-    order = Window.partitionBy(*partition).orderBy(F.desc("score"), unsigned_order(F.col("asset_key")))
+    """The k best rows of each query, those equal in DIGITS digits by key, with their rank."""
+    order = Window.partitionBy(*partition).orderBy(settled("score").desc(), unsigned_order(F.col("asset_key")))
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 

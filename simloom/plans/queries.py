@@ -227,7 +227,7 @@ def e2_prefix_graded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "f3_search_prefix",
     f"""{WITH_UNITS}, {PREFIX_SQL}, sc as (select pre.q, k, sum(bits::double / qn) / any_value(c) as s from pre join cnt using (q) where k <> pre.q group by pre.q, k)
-select query_id, asset_key, round(s, 9) as score, rank from (select q as query_id, k as asset_key, s, row_number() over (partition by q order by s desc, k) as rank from sc) where rank <= 20""",
+select query_id, asset_key, round(s, 9) as score, rank from (select q as query_id, k as asset_key, s, row_number() over (partition by q order by round(s, 9) desc, k) as rank from sc) where rank <= 20""",
 )
 def f3_search_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = fx.query_units(spark, sf_dir).filter("nbits >= 64")
@@ -242,7 +242,7 @@ def f3_search_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 m as (select q, k, t, max(s) as s from c group by q, k, t),
 f as (select q, k, sum(case when s >= 0.65 then pow(s, 4) end) / sum(case when s >= 0.65 then s end) as score, count(*) filter (where s >= 0.65) as n,
   string_agg(t || ':' || round(s * 1000000)::bigint, ',' order by t) as types from m group by q, k),
-r as (select *, row_number() over (partition by q order by score desc, k) as rank from f where n > 0 and k <> q)
+r as (select *, row_number() over (partition by q order by round(score, 9) desc, k) as rank from f where n > 0 and k <> q)
 select q as query_id, k as asset_key, round(score, 9) as score, types, rank from r where rank <= 20""",
 )
 def search_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,7 +323,7 @@ def e6_segment_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "f9_search_segments_exact",
-    f"""{WITH_SEGMENTS}, {EXACT_SQL}, ok as (select *, row_number() over (partition by q order by s desc, k) as r from sc where s >= 0.65)
+    f"""{WITH_SEGMENTS}, {EXACT_SQL}, ok as (select *, row_number() over (partition by q order by round(s, 9) desc, k) as r from sc where round(s, 9) >= 0.65)
 select q as query_id, k as asset_key, round(s, 9) as score, matches::bigint as matches, n_q as queried, r as rank from ok where r <= 20""",
 )
 def f9_search_segments_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,14 +369,14 @@ tot as (select q, sum(idf) as total, count(*) as queried from qidf group by q),
 w as (select best.q, best.k, sim, ln(1 + n / (1 + f)) as mi, qidf.idf as own from best cross join n join df on df.s = best.s join qidf on qidf.q = best.q and qidf.qs = best.qs),
 sc as (select w.q, k, sum(mi * sim) / (any_value(total) + sum(mi - own)) as s, count(*) as matches, any_value(queried) as queried from w join tot on tot.q = w.q group by w.q, k),
 rk as (select *, row_number() over (partition by q order by round(s, 9) desc, k) as rank from sc)
-select q as query_id, k as asset_key, round(s, 9) as score, matches, queried from rk where rank <= 20""",
+select q as query_id, k as asset_key, round(s, 9) as score, matches, queried, rank from rk where rank <= 20""",
 )
 def f8_search_segments_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = fx.vector_segments(spark, sf_dir)
     total = segments.select("asset_key").distinct().count()
     found = search.search_segments(segments, fx.query_segments(segments), total, options=OPTIONS)
     detail = F.map_values("types")[0]
-    return found.select("query_id", "asset_key", F.round("score", 9).alias("score"), detail["matches"].alias("matches"), detail["queried"].alias("queried"))
+    return found.select("query_id", "asset_key", F.round("score", 9).alias("score"), detail["matches"].alias("matches"), detail["queried"].alias("queried"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("f6_document_frequency", f"{WITH_SEGMENTS} select s as sp, count(distinct k) as freq from (select *, row_number() over (partition by s order by k, o, z) as r from ts) where r <= 1000 group by s")
