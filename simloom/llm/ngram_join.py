@@ -14,22 +14,30 @@ already known are not looked for.
    with, and each star (dealt in parts if large, and then once more in other parts) is clustered:
    walked from node to node, so that a group of near copies costs about one comparison a node.
 4. What is left are groups of a prefix shingle whose nodes are in several components. Pairs across
-   components are formed only where they are few against the group's rows; the nodes of other
-   groups are put together once, and blocks of them by size are clustered with blocks that
-   can hold partners, so no task and no shuffle gets all pairs.
-   A pair counts only where the shingle could be their first common one: what follows it in the
-   shorter rest must reach the least overlap.
-5. Candidate pairs meet their shared prefix shingles first: common ones in the prefixes and all of
-   the set whose prefix ends first that follows must reach the least overlap. Few pairs pass, and
-   only their documents' whole sets are made and moved.
-6. What passes is compared by prefix tree: a block's sets are stored in a trie in global order,
+   components are formed where they are few against the group's rows. A pair counts only where the
+   shingle could be their first common one: what follows it in the shorter rest must reach the
+   least overlap. Candidate pairs meet their shared prefix shingles first: common ones in the
+   prefixes and all of the set whose prefix ends first that follows must reach the least overlap.
+   Few pairs pass, and only their documents' whole sets are made and moved.
+5. The nodes of the other groups (templates, passages in very many documents) are joined anew, with
+   shingles counted among them alone. Partners either share a shingle that few of them hold, whose
+   group is small, so its pairs are formed; or all they share is frequent. Then the frequent part of
+   a set and the set's size decide, so nodes that agree in both are one class and only classes are
+   joined, level by level, as long as that leaves at most half as many. Classes that link are linked
+   with all of their members. What is left at the end is put together by shared prefix shingles and
+   compared block by block, blocks being ranges of sizes dealt by a hash.
+6. What is compared is compared by prefix tree: a block's sets are stored in a trie in global order,
    one-child paths in one node; the probing set walks it once, carries its overlap down shared
    paths, and leaves a subtree when the overlap so far and what is left on either side cannot
    reach the least overlap the subtree's sizes ask for. Overlaps are counted, so the result is
    exact for the hashed shingles.
 
+Ids may be of any type that can be ordered; ids that are no integers are numbered in their order.
 Rows that share an id are one node. A null id is in no link and has a null component. Null and
-empty texts have empty sets and are linked with nothing. Empty tables give empty results.
+empty texts have empty sets and are linked with nothing. Long texts are read whole; a worker holds
+CHUNK_BYTES of text, or one text. Repeated rows have equal sets and are one node; of equals the
+least id names the component, so there are no ties. Empty tables give empty results. Columns other
+than id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -41,6 +49,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import arrow_rows, bounded, materialise
 from .wordhash import Words, chunks, lists
@@ -60,6 +69,8 @@ CLUSTER = 256
 ARROW_ROWS = 1000
 #: Pairs a row up to which a group's pairs are formed.
 PAIRS_A_ROW = 64
+#: Classes are joined anew while they are at most this share of the nodes they stand for.
+FEWER = 0.5
 
 _LOW = -(1 << 63)
 
@@ -70,14 +81,17 @@ def least_overlap(n: np.ndarray | int, m: np.ndarray | int, percent: int = PERCE
 
 
 class PrefixTree:
-    """Sorted sets (int64 arrays) in a trie with one-child paths joined."""
+    """Sorted sets (int64 arrays) in a trie with one-child paths joined.
 
-    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
+    sizes are those of the whole sets where only parts of them are stored.
+    """
+
+    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT, sizes: list[int] | None = None):
         self.percent = percent
         keys = [(s.view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").tobytes() for s in sets]
         order = sorted(range(len(sets)), key=keys.__getitem__)
-        # Node: [segment, children, least size, greatest size, own members]
-        root: list = [np.zeros(0, np.int64), [], None, None, []]
+        # Node: [segment, children, least size, greatest size, own members, greatest length]
+        root: list = [np.zeros(0, np.int64), [], None, None, [], 0]
         path: list[tuple[int, list]] = [(0, root)]  # (depth at the node's end, node)
         before: np.ndarray | None = None
         for i in order:
@@ -92,17 +106,18 @@ class PrefixTree:
             depth, node = path[-1]
             if depth > shared:  # cut the node's segment
                 above = path[-2][0]
-                lower = [node[0][shared - above :], node[1], node[2], node[3], node[4]]
+                lower = [node[0][shared - above :], *node[1:]]
                 node[0], node[1], node[4] = node[0][: shared - above], [lower], []
                 path[-1] = (shared, node)
             if len(s) > shared:
-                leaf: list = [s[shared:], [], None, None, [i]]
+                leaf: list = [s[shared:], [], None, None, [i], 0]
                 path[-1][1][1].append(leaf)
                 path.append((len(s), leaf))
             else:
                 path[-1][1][4].append(i)
             before = s
-        self.root, self.sizes = root, [len(s) for s in sets]
+        self.root, self.lengths = root, [len(s) for s in sets]
+        self.sizes = self.lengths if sizes is None else sizes
         self._bounds()
 
     def _bounds(self) -> None:
@@ -112,43 +127,49 @@ class PrefixTree:
             post.append(node)
             stack += node[1]
         for node in reversed(post):
-            sizes = [self.sizes[i] for i in node[4]] + [c[2] for c in node[1]]
-            large = [self.sizes[i] for i in node[4]] + [c[3] for c in node[1]]
-            node[2], node[3] = min(sizes, default=0), max(large, default=0)
-
-    def matches(self, x: np.ndarray, wanted: bytearray | None = None) -> list[int]:
-        """Members (of those wanted) whose Jaccard index with x (sorted, not empty) is percent or more."""
-        found, n, percent = [], len(x), self.percent
+            own, below = node[4], node[1]
+            node[2] = min([self.sizes[i] for i in own] + [c[2] for c in below], default=0)
+            node[3] = max([self.sizes[i] for i in own] + [c[3] for c in below], default=0)
+            node[5] = max([self.lengths[i] for i in own] + [c[5] for c in below], default=0)
+
+    def matches(self, x: np.ndarray, wanted: bytearray | None = None, size: int | None = None) -> list[int]:
+        """Members (of those wanted) whose Jaccard index with x (sorted, not empty) is percent or more.
+
+        size is that of the whole set of which x is a part; what x and a member share is all that their whole sets do.
+        """
+        found, length, percent = [], len(x), self.percent
+        n = length if size is None else size
         stack = [(self.root, 0, 0)]  # node, overlap and depth above it
         while stack:
             node, overlap, depth = stack.pop()
-            segment, children, least, most, own = node
+            segment, children, least, most, own, longest = node
             if 100 * least > 100 * n * 100 // percent or most * 100 < n * percent:
                 continue
-            left = n
+            left = length
             if len(segment):
                 at = np.searchsorted(x, segment)
-                overlap += int(np.count_nonzero(x[np.minimum(at, n - 1)] == segment))
+                overlap += int(np.count_nonzero(x[np.minimum(at, length - 1)] == segment))
                 depth += len(segment)
-                left = n - int(at[-1])
-            if overlap + min(left, most - depth) < least_overlap(n, least, percent):
+                left = length - int(at[-1])
+            if overlap + min(left, longest - depth) < least_overlap(n, least, percent):
                 continue
             found += [i for i in own if (wanted is None or wanted[i]) and overlap >= least_overlap(n, self.sizes[i], percent)]
             stack += [(c, overlap, depth) for c in children]
         return found
 
 
-def cluster(nodes: list[tuple[int, int, np.ndarray]], percent: int = PERCENT) -> Iterator[tuple[int, int]]:
-    """Links between components of nodes (id, component so far, set) that make them whole.
+def cluster(nodes: list[tuple[int, int | None, int, np.ndarray]], percent: int = PERCENT) -> Iterator[tuple[int, int]]:
+    """Links between components of nodes (id, component so far, size, set) that make them whole.
 
     A component is walked from its first node: each node asks the trie of those not reached yet,
-    and whom it finds joins the walk with all of its component. The trie is built anew when half of
-    its members are reached, so in a group of near copies, where the first walks reach nearly all,
-    the others ask small tries.
+    and whom it finds joins the walk with all of its component (a null component is the node
+    alone). The trie is built anew when half of its members are reached, so in a group of near
+    copies, where the first walks reach nearly all, the others ask small tries.
     """
     together: dict[int, list[int]] = {}
-    for i, (_, c, _) in enumerate(nodes):
-        together.setdefault(c, []).append(i)
+    for i, (_, c, _, _) in enumerate(nodes):
+        if c is not None:
+            together.setdefault(c, []).append(i)
     waiting = bytearray(b"\x01" * len(nodes))
     left = len(nodes)
     members: list[int] = []
@@ -159,7 +180,7 @@ def cluster(nodes: list[tuple[int, int, np.ndarray]], percent: int = PERCENT) ->
 
     def reach(i: int) -> None:
         nonlocal left
-        for j in together[nodes[i][1]]:
+        for j in (i,) if nodes[i][1] is None else together[nodes[i][1]]:
             if waiting[j]:
                 waiting[j] = 0
                 left -= 1
@@ -177,9 +198,10 @@ def cluster(nodes: list[tuple[int, int, np.ndarray]], percent: int = PERCENT) ->
                 continue
             if tree is None or left <= len(members) // 2:
                 members = [i for i in range(len(nodes)) if waiting[i]]
-                tree, alive = PrefixTree([nodes[i][2] for i in members], percent), bytearray(b"\x01" * len(members))
+                tree = PrefixTree([nodes[i][3] for i in members], percent, [nodes[i][2] for i in members])
+                alive = bytearray(b"\x01" * len(members))
                 place = {i: k for k, i in enumerate(members)}
-            for k in tree.matches(nodes[at][2], alive):
+            for k in tree.matches(nodes[at][3], alive, nodes[at][2]):
                 if alive[k]:
                     if nodes[at][0] != nodes[members[k]][0]:
                         yield nodes[at][0], nodes[members[k]][0]
@@ -187,7 +209,23 @@ def cluster(nodes: list[tuple[int, int, np.ndarray]], percent: int = PERCENT) ->
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def _frequent(parts: DataFrame, frequent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles ascending, their counts) of at most `most` shingles counted over `frequent` times. parts: (token, n)."""
+    counts = parts.groupBy("token").agg(F.sum("n").alias("n"))
+    counts = materialise(counts.filter(F.col("n") > frequent), "shingle-counts")
+    while counts.count() > most:  # a higher bar, until the table is known to be small
+        frequent *= 4
+        counts = counts.filter(F.col("n") > frequent)
+    got = counts.toPandas().sort_values("token")
+    return got["token"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+
+
+def _counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+    token, count = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.int64), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(count.astype(np.int32))], ["token", "n"])
 
 
 def frequent_shingles(texts: DataFrame, k: int, frequent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,36 +235,36 @@ def frequent_shingles(texts: DataFrame, k: int, frequent: int, most: int) -> tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, starts in chunks(batch, 0):
-                sets = Words(data, starts).shingles(k)
-                low = np.concatenate([s[: np.searchsorted(s, limit)] for s in sets]) if sets else np.zeros(0, np.int64)
-                token, count = np.unique(low, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(count.astype(np.int32))], ["token", "n"])
+                yield _counted([s[: np.searchsorted(s, limit)] for s in Words(data, starts).shingles(k)])
 
-    counts = texts.select("text").mapInArrow(run, "token long, n int").groupBy("token").agg(F.sum("n").alias("n"))
-    counts = materialise(counts.filter(F.col("n") > frequent), "shingle-counts")
-    while counts.count() > most:  # a higher bar, until the table is known to be small
-        frequent *= 4
-        counts = counts.filter(F.col("n") > frequent)
-    got = counts.toPandas().sort_values("token")
-    return got["token"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    return _frequent(texts.select("text").mapInArrow(run, "token long, n int"), frequent, most)
 
 
 def prefix_of(s: np.ndarray, common: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """The first len(s) - ceil(percent len(s)) + 1 shingles of s in global order, and the last one's count (0: rare)."""
     n = len(s)
     p = n - -(-n * percent // 100) + 1
-    if not n or not len(common):
-        return (s[:p] if n else s), 0
-    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-    hot = common[at] == s
-    cold = s[~hot]
-    if len(cold) >= p:
-        return cold[:p], 0
-    late, often = s[hot], counts[at[hot]]
+    cold, late, often = split_by(s, common, counts)
+    if not n or len(cold) >= p:
+        return (cold[:p] if n else s), 0
     order = np.lexsort((late, often))[: p - len(cold)]
     return np.concatenate((cold, late[order])), int(often[order[-1]])
 
 
+def split_by(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rare shingles of s, frequent ones, their counts)."""
+    if not len(s) or not len(common):
+        return s, s[:0], s[:0]
+    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+    hot = common[at] == s
+    return s[~hot], s[hot], counts[at[hot]]
+
+
+def digests(s: np.ndarray) -> tuple[int, int]:
+    """Two sums over hashed members, which tell sets apart (with their size)."""
+    return int(s.sum()), int((s * (s | np.int64(1)) ^ (s >> np.int64(29))).sum())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id each id of edges (a, b) is connected with.
 
@@ -246,29 +284,37 @@ def components(edges: DataFrame) -> DataFrame:
         labels = spread.select("id", "component")
 
 
-def _compare(groups: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) in each group of groups (g, side, id, c): side 0 probes side 1, side 2 is clustered.
-
-    c is the component known so far.
-
-    Rows come sorted by group and side; a worker holds one group, whose size its maker bounds.
-    """
+def _sets_of(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(id, n, set) of the texts whose id is in wanted (id), a stored table."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, starts in chunks(batch, 1):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists(Words(data, starts).shingles(k))], ["id", "set"])
+                sets = Words(data, starts).shingles(k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), lists(sets)], ["id", "n", "set"])
 
-    groups = materialise(groups, "groups")
-    wanted = bounded(materialise(groups.select("id").distinct(), "wanted"))
-    sets = texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(whole, "id long, set array<long>")
-    rows = sets.join(bounded(groups), "id").select("g", "side", "id", "c", "set").repartition("g").sortWithinPartitions("g", "side")
+    return texts.join(bounded(wanted), "id", "left_semi").select("id", "text").mapInArrow(whole, "id long, n long, set array<long>")
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """The lists of an Arrow list<int64> column, an empty one for null."""
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _compare(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) in each group of groups (g, side, id, c): side 0 probes side 1, side 2 is clustered.
+
+    groups is a stored table; c is the component known so far. sets: (id, n, set), n the size of the whole set.
+    Rows come sorted by group and side; a worker holds one group, whose size its maker bounds.
+    """
+    rows = sets.join(bounded(groups), "id").select("g", "side", "id", "c", "n", "set").repartition("g").sortWithinPartitions("g", "side")
 
     def links(probes: list, members: list, others: list) -> Iterator[tuple[int, int]]:
         if probes and members:
-            tree = PrefixTree([s for _, _, s in members], percent)
-            for a, _, x in probes:
-                for i in tree.matches(x):
+            tree = PrefixTree([m[3] for m in members], percent, [m[2] for m in members])
+            for a, _, n, x in probes:
+                for i in tree.matches(x, size=n):
                     if members[i][0] != a:
                         yield a, members[i][0]
         yield from cluster(others, percent)
@@ -280,19 +326,24 @@ def _compare(groups: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
         group, sides = None, ([], [], [])
         for batch in batches:
             out: list[tuple[int, int]] = []
-            column = batch.column(4)
-            offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-            for j, (g, side, node, c) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)):
+            for g, side, node, c, n, own in zip(*(batch.column(i).to_pylist() for i in range(5)), _arrays(batch.column(5)), strict=True):
                 if g != group:
                     out += links(*sides)
                     group, sides = g, ([], [], [])
-                sides[side].append((node, c, values[offsets[j] : offsets[j + 1]].copy()))
+                sides[side].append((node, c, n, own.copy()))
             yield batch_of(out)
         yield batch_of(list(links(*sides)))
 
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _compare_texts(groups: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """_compare with sets made from the texts of the nodes in groups."""
+    groups = materialise(groups, "groups")
+    wanted = materialise(groups.select("id").distinct(), "wanted")
+    return _compare(groups, _sets_of(texts, wanted, k), percent)
+
+
 def _probe_groups(pairs: DataFrame) -> DataFrame:
     """Groups of pairs (a, b): a probes its partners, at most about CHUNK in a group."""
     pairs = materialise(pairs, "pairs")
@@ -343,7 +394,7 @@ def _likely(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
 
 
 def _residual(posts: DataFrame, comps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b), block groups (g, side, id, c)) across components, for posts (token, id, n, at, early).
+    """(pairs (a, b), nodes (id, c) of groups with many looks) across components, for posts (token, id, n, at, early).
 
     Of two partners the smaller one (of equals, either) is early at the shingle: what follows the
     shingle in it reaches the least overlap of two sets of its size. So early rows look at rows that
@@ -368,12 +419,71 @@ def _residual(posts: DataFrame, comps: DataFrame, percent: int) -> tuple[DataFra
     minor = small.filter("early and c <> big").alias("l").join(small.alias("r"), on)
     major = small.filter("early and c = big").alias("l").join(small.filter("c <> big").alias("r"), on)
     pairs = minor.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).unionByName(major.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))).distinct()
-    # Groups with many looks overlap, as near copies share many shingles: those that share a node
-    # are put together, and each two blocks that can hold partners are compared once.
-    large = materialise(rows.filter("not few").select("token", "id", "n", "c"), "large-groups")
-    leads = large.withColumn("lead", F.min("id").over(every)).filter("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    joint = large.select("id", "n", "c").distinct().join(bounded(components(leads).withColumnRenamed("component", "joint")), "id")
-    # Blocks: ranges of sizes that span a factor of 100 / percent, dealt in parts by a hash.
+    return pairs, rows.filter("not few").groupBy("id").agg(F.min("c").alias("c"))
+
+
+def _hot_parts(items: DataFrame, percent: int, frequent: int, most: int) -> DataFrame:
+    """items (id, c, n, set) with len, prefix (its rare shingles) and, where the prefix goes on among frequent ones, hot.
+
+    hot are all frequent shingles of the set, ordered by value, hot_prefix those of them that the prefix has, d1 and d2
+    their digests. Shingles are counted among the items, all of them; at most `most` are known as frequent.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _counted(_arrays(batch.column(0)))
+
+    common = items.sparkSession.sparkContext.broadcast(_frequent(items.select("set").mapInArrow(count, "token long, n int"), frequent, most))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, counts = common.value
+        for batch in batches:
+            out = {c: [] for c in ("len", "prefix", "hot", "hot_prefix", "d1", "d2")}
+            for n, own in zip(batch.column(2).to_pylist(), _arrays(batch.column(3)), strict=True):
+                cold, late, often = split_by(own, tokens, counts)
+                p = len(own) - -(-n * percent // 100) + 1
+                hot = len(cold) < p
+                d1, d2 = digests(late) if hot else (None, None)
+                order = np.lexsort((late, often))[: p - len(cold)] if hot else []
+                row = (len(own), cold[: max(p, 0)], late if hot else late[:0], late[order] if hot else late[:0], d1, d2)
+                for column, value in zip(out.values(), row, strict=True):
+                    column.append(value)
+            made = [lists(v) if c in ("prefix", "hot", "hot_prefix") else pa.array(v, pa.int64()) for c, v in out.items()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *made], ["id", "c", "n", *out])
+
+    schema = "id long, c long, n long, len long, prefix array<long>, hot array<long>, hot_prefix array<long>, d1 long, d2 long"
+    return materialise(items.select("id", "c", "n", "set").mapInArrow(split, schema), "hot-parts")
+
+
+def _apart(a: str, b: str):
+    """Whether two components may differ; null is not one component."""
+    return F.coalesce(F.col(a) != F.col(b), F.lit(True))
+
+
+def _rare_pairs(parts: DataFrame, percent: int) -> DataFrame:
+    """(a, b) across components that may have their first common shingle among the rare ones of their prefixes."""
+    every = Window.partitionBy("token")
+    posts = parts.select("id", "c", "n", "len", F.posexplode("prefix").alias("at", "token"))
+    several = (F.min("c").over(every) != F.max("c").over(every)) | ((F.count("*").over(every) > 1) & (F.count("c").over(every) < F.count("*").over(every)))
+    posts = materialise(posts.withColumn("several", several).filter("several").drop("several"), "hot-rare")
+    order = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.id") < F.col("r.id")))
+    first = F.least(F.col("l.len") - F.col("l.at"), F.col("r.len") - F.col("r.at")) >= _need(F.col("l.n"), F.col("r.n"), percent)
+    on = (F.col("l.token") == F.col("r.token")) & _apart("l.c", "r.c") & order & _close("l.n", "r.n", percent) & first
+    return posts.alias("l").join(posts.alias("r"), on).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+
+
+def _block_groups(classes: DataFrame, percent: int) -> DataFrame:
+    """Groups (g, side, id, c) of classes (id, c, n, hot_prefix): each two blocks that can hold partners, once.
+
+    Classes that share a prefix shingle across components are put together; blocks are ranges of sizes that span a
+    factor of 100 / percent, dealt in parts by a hash.
+    """
+    every = Window.partitionBy("token")
+    posts = classes.select("id", "c", F.explode("hot_prefix").alias("token"))
+    several = F.coalesce(F.min("c").over(every) != F.max("c").over(every), F.lit(True)) | (F.count("c").over(every) < F.count("*").over(every))
+    leads = posts.withColumn("several", several).withColumn("lead", F.min("id").over(every)).filter("several and lead <> id")
+    found = components(leads.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    joint = classes.select("id", "c", "n").join(bounded(found.withColumnRenamed("component", "joint")), "id")
     width = math.log(100 / percent)
     joint = joint.withColumn("span", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
     parts = joint.groupBy("joint", "span").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
@@ -388,18 +498,73 @@ def _residual(posts: DataFrame, comps: DataFrame, percent: int) -> tuple[DataFra
     tasks = tasks.withColumn("g", F.concat_ws(":", "joint", "x", "y"))
     one = joint.join(tasks.select("g", "joint", F.col("x").alias("block")), ["joint", "block"])
     other = joint.join(tasks.filter("x <> y").select("g", "joint", F.col("y").alias("block")), ["joint", "block"])
-    return pairs, one.unionByName(other).select("g", F.lit(2).alias("side"), "id", "c")
+    return one.unionByName(other).select("g", F.lit(2).alias("side"), "id", "c")
+
+
+def _hot_links(items: DataFrame, percent: int, frequent: int, most: int) -> DataFrame:
+    """Links (a, b) that put together all partners across components among items (id, c, n, set), a stored table.
+
+    Each level gives links of its own items and the classes that are the items of the next; the
+    levels are then unwound: a class with a link, or whose shared part makes its members partners,
+    is linked with each of its members.
+    """
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    while True:
+        parts = _hot_parts(items, percent, frequent, most)
+        pairs = _rare_pairs(parts, percent)
+        links = materialise(_compare(materialise(_probe_groups(pairs), "hot-groups"), items.select("id", "n", "set"), percent), "hot-links")
+        key = F.xxhash64("n", "d1", "d2", F.size("hot"))
+        members = parts.filter("size(hot) > 0").select(key.alias("class"), "id", "c", "n", "hot", "hot_prefix")
+        classes = members.groupBy("class").agg(
+            F.min("id").alias("rep"),
+            F.when((F.min("c") == F.max("c")) & (F.count("c") == F.count("*")), F.min("c")).alias("c"),
+            F.first("n").alias("n"),
+            F.first("hot").alias("set"),
+            F.first("hot_prefix").alias("hot_prefix"),
+            F.count("*").alias("members"),
+        )
+        classes = materialise(classes, "hot-classes")
+        within = (F.col("members") > 1) & (F.size("set") >= _need(F.col("n"), F.col("n"), percent))
+        levels.append((links, members.select("class", "id").join(classes.select("class", "rep", within.alias("within")), "class")))
+        items = classes.select(F.col("class").alias("id"), "c", "n", "set", "hot_prefix")
+        n, stood_for = (classes.agg(F.count("*"), F.coalesce(F.sum("members"), F.lit(0))).first())
+        if n <= 1 or n > FEWER * stood_for:
+            break
+    links = materialise(_compare(materialise(_block_groups(items, percent), "block-groups"), items.select("id", "n", "set"), percent), "hot-links") if n > 1 else None
+    for own, members in reversed(levels):
+        up = members.filter("within").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+        if links is not None:
+            touched = materialise(links.select(F.col("a").alias("class")).union(links.select(F.col("b").alias("class"))).distinct(), "touched")
+            up = members.join(bounded(touched), "class", "left_semi").select(F.col("rep").alias("a"), F.col("id").alias("b")).unionByName(up)
+            reps = members.select("class", "rep").distinct()
+            met = links.join(reps.select(F.col("class").alias("a"), F.col("rep").alias("rep_a")), "a").join(reps.select(F.col("class").alias("b"), F.col("rep").alias("rep_b")), "b")
+            up = up.unionByName(met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+        links = materialise(own.unionByName(up).filter("a <> b"), "level-links")
+    return links
 
 
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, frequent: int = FREQUENT, most_frequent: int = MOST_FREQUENT
 ) -> DataFrame:
     """Columns: id, n_shingles, component_id (the least id reachable by links, itself included)."""
+    texts, numbers = _texts(docs, id_col, text_col), None
+    id_type = texts.schema["id"].dataType
+    if isinstance(id_type, IntegralType):
+        texts = texts.withColumn("id", F.col("id").cast("long"))
+    else:  # numbered in their order
+        numbers = texts.select("id").filter("id is not null").distinct().orderBy("id").select("id", F.monotonically_increasing_id().alias("number"))
+        numbers = materialise(numbers, "id-numbers")
+        texts = texts.join(numbers, "id", "left").select(F.col("number").alias("id"), "text")
     with arrow_rows(docs.sparkSession, ARROW_ROWS):  # all jobs with Python run before this returns
-        return _components_of(_texts(docs, id_col, text_col), id_col, k, percent, frequent, most_frequent)
+        found = _components_of(texts, k, percent, frequent, most_frequent)
+    if numbers is None:
+        return found.select(F.col("id").cast(id_type).alias(id_col), "n_shingles", F.col("component").cast(id_type).alias("component_id"))
+    named = found.join(numbers.select(F.col("number").alias("id"), F.col("id").alias("named")), "id", "left")
+    named = named.join(numbers.select(F.col("number").alias("component"), F.col("id").alias("component_id")), "component", "left")
+    return named.select(F.col("named").alias(id_col), "n_shingles", "component_id")
 
 
-def _components_of(texts: DataFrame, id_col: str, k: int, percent: int, frequent: int, most_frequent: int) -> DataFrame:
+def _components_of(texts: DataFrame, k: int, percent: int, frequent: int, most_frequent: int) -> DataFrame:
     spark = texts.sparkSession
     common = spark.sparkContext.broadcast(frequent_shingles(texts, k, frequent, most_frequent))
 
@@ -408,11 +573,9 @@ def _components_of(texts: DataFrame, id_col: str, k: int, percent: int, frequent
         for batch in batches:
             for a, b, data, starts in chunks(batch, 1):
                 sets = Words(data, starts).shingles(k)
-                # Two sums over hashed members tell sets apart (with their size).
-                d1 = [int(s.sum()) for s in sets]
-                d2 = [int((s * (s | np.int64(1)) ^ (s >> np.int64(29))).sum()) for s in sets]
+                sums = [digests(s) for s in sets]
                 firsts = [prefix_of(s, tokens, counts, percent) for s in sets]
-                numbers = [[len(s) for s in sets], d1, d2, [f for _, f in firsts]]
+                numbers = [[len(s) for s in sets], [d for d, _ in sums], [d for _, d in sums], [f for _, f in firsts]]
                 columns = [batch.column(0).slice(a, b - a), *(pa.array(x, pa.int64()) for x in numbers), lists([p for p, _ in firsts])]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n", "d1", "d2", "last_f", "prefix"])
 
@@ -429,12 +592,16 @@ def _components_of(texts: DataFrame, id_col: str, k: int, percent: int, frequent
     shared = posts.groupBy("id").agg(F.max("n").alias("n"), F.max("last_f").alias("last_f"), F.max("last_t").alias("last_t"), F.collect_set("token").alias("tokens"), (F.countDistinct("n", "last_f", "last_t") > 1).alias("mixed"))
     shared = materialise(shared, "shared-by-node")
     stars = materialise(_likely(_star_pairs(posts, percent), shared, percent), "stars")
-    links = materialise(_compare(_cluster_groups(stars, 1, False), texts, k, percent), "star-links")
-    again = _compare(_cluster_groups(stars, 2, True), texts, k, percent)
+    links = materialise(_compare_texts(_cluster_groups(stars, 1, False), texts, k, percent), "star-links")
+    again = _compare_texts(_cluster_groups(stars, 2, True), texts, k, percent)
     comps = components(links.unionByName(materialise(again, "star-links")))
-    pairs, blocks = _residual(posts, comps, percent)
-    groups = _probe_groups(_likely(pairs, shared, percent)).unionByName(blocks)
-    rest = materialise(_compare(groups, texts, k, percent), "rest-links")
+    pairs, large = _residual(posts, comps, percent)
+    rest = _compare_texts(_probe_groups(_likely(pairs, shared, percent)), texts, k, percent)
+    large = materialise(large, "large-nodes")
+    if not large.isEmpty():
+        sets = _sets_of(texts, large.select("id"), k).join(bounded(large), "id").select("id", "c", "n", "set").filter("n > 0")
+        rest = rest.unionByName(_hot_links(materialise(sets, "hot-sets"), percent, frequent, most_frequent))
+    rest = materialise(rest, "rest-links")
     if not rest.isEmpty():
         up = comps.withColumnRenamed("component", "up")
         by_a = rest.join(up, rest["a"] == up["id"], "left").select(F.coalesce("up", "a").alias("a"), "b")
@@ -446,4 +613,4 @@ def _components_of(texts: DataFrame, id_col: str, k: int, percent: int, frequent
     found = bounded(materialise(found, "class-components"))
     out = own.select("id", "n", "d1", "d2").join(found, ["n", "d1", "d2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component"))

@@ -282,10 +282,11 @@ def brute_components(docs):
     return {d: (len(s), root(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize("pairs_a_row, broadcast_rows", [(64, 10**6), (0, 10**6), (64, 0), (0, 0)])
-def test_ngram_join_against_brute_force(spark, monkeypatch, pairs_a_row, broadcast_rows):
+@pytest.mark.parametrize("pairs_a_row, broadcast_rows, fewer, frequent", [(64, 10**6, 0.5, 10), (0, 10**6, 1.0, 10), (0, 10**6, 0.5, 2), (0, 0, 0.0, 1), (64, 0, 0.5, 10)])
+def test_ngram_join_against_brute_force(spark, monkeypatch, pairs_a_row, broadcast_rows, fewer, frequent):
     monkeypatch.setattr("simloom.llm.common.BROADCAST_ROWS", broadcast_rows)
     monkeypatch.setattr(ngram_join, "PAIRS_A_ROW", pairs_a_row)
+    monkeypatch.setattr(ngram_join, "FEWER", fewer)
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
     monkeypatch.setattr(ngram_join, "CHUNK", 5)
     monkeypatch.setattr(ngram_join, "CLUSTER", 6)
@@ -302,7 +303,7 @@ def test_ngram_join_against_brute_force(spark, monkeypatch, pairs_a_row, broadca
             docs.append(words)
     docs = [(i, " ".join(w)) for i, w in enumerate(docs)]
     table = frame(spark, [*docs, (None, docs[0][1])])
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(table, frequent=10).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(table, frequent=frequent).collect()}
     assert got.pop(None)[1] is None
     assert got == brute_components(docs)
 
@@ -313,6 +314,58 @@ def test_ngram_join_edges(spark, odd, none):
     assert ngram_join.jaccard_components(none).count() == 0
 
 
+def _template(n, vocabulary):
+    """n texts of one template of 60 words with one of five fields replaced, by one of as many words or by a word of its own."""
+    random.seed(1)
+    out = []
+    for d in range(n):
+        words = [f"t{i}" for i in range(60)]
+        words[6 + 12 * random.randrange(5)] = f"v{random.randrange(vocabulary)}" if vocabulary else f"own{d}"
+        out.append((d, " ".join(words)))
+    return out
+
+
+def test_ngram_join_of_a_template_is_linear(spark, monkeypatch):
+    """Documents that share most of a passage and do not link are told apart by classes, not by pairs or blocks."""
+    compare, moved = ngram_join._compare, []
+
+    def counted(groups, sets, percent):
+        moved.append(groups.count())
+        return compare(groups, sets, percent)
+
+    monkeypatch.setattr(ngram_join, "_compare", counted)
+    rows = {}
+    for n in (400, 1600):
+        moved.clear()
+        docs = _template(n, 0)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame(spark, docs)).collect()}
+        assert len({c for _, c in got.values()}) == 5
+        assert n > 400 or got == brute_components(docs)
+        rows[n] = sum(moved)
+    assert rows[1600] < 6 * rows[400] and rows[1600] < 4 * 1600
+
+
+@pytest.mark.parametrize("vocabulary, fewer, block", [(0, 0.5, 16), (40, 0.5, 16), (40, 0.0, 16), (0, 0.0, 1000)])
+def test_ngram_join_of_templates_against_brute_force(spark, monkeypatch, vocabulary, fewer, block):
+    monkeypatch.setattr(ngram_join, "PAIRS_A_ROW", 0)
+    monkeypatch.setattr(ngram_join, "FEWER", fewer)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    docs = _template(300, vocabulary)
+    docs += [(1000 + i, f"{t} tail{i % 7} more{i % 7}") for i, t in _template(60, 3)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame(spark, docs), frequent=5).collect()}
+    assert got == brute_components(docs)
+
+
+def test_ngram_join_keeps_ids(spark):
+    """Ids of other types come back as they are; the least of a group is the least in their order."""
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [("b", text), ("a10", text), ("a9", "other words of no use to anyone at all"), (None, text), ("z", None)]
+    got = sorted(map(str, ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id string, text string")).collect()))
+    assert got == sorted(["Row(doc_id='b', n_shingles=8, component_id='a10')", "Row(doc_id='a10', n_shingles=8, component_id='a10')", "Row(doc_id='a9', n_shingles=5, component_id='a9')", "Row(doc_id=None, n_shingles=8, component_id=None)", "Row(doc_id='z', n_shingles=0, component_id='z')"])
+    small = ngram_join.jaccard_components(spark.createDataFrame([(3, text), (2, text)], "doc_id int, text string"))
+    assert small.schema["doc_id"].dataType.simpleString() == "int" and {r.component_id for r in small.collect()} == {2}
+
+
 def test_prefix_tree_against_brute_force():
     import numpy as np
 
@@ -323,6 +376,12 @@ def test_prefix_tree_against_brute_force():
         x = np.array(sorted(random.sample(range(-20, 20), random.randint(1, 15))))
         want = [i for i, s in enumerate(sets) if 100 * len(set(s) & set(x)) >= 60 * len(set(s) | set(x))]
         assert sorted(tree.matches(x)) == want
+        # Parts of sets: their sizes ask for the overlap, the parts give it.
+        sizes = [len(s) + random.randint(0, 4) for s in sets]
+        n = len(x) + random.randint(0, 4)
+        tree = ngram_join.PrefixTree(sets, 60, sizes)
+        want = [i for i, s in enumerate(sets) if len(set(s) & set(x)) * 160 >= 60 * (sizes[i] + n)]
+        assert sorted(tree.matches(x, size=n)) == want
 
 
 def test_spot_signature_edges(spark, odd, none):
