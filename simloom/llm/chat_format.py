@@ -23,8 +23,10 @@ as they fill: a worker holds one pack at a time.
 The template marks each turn by its role. Control strings inside texts and roles are escaped by
 a backslash after their first character, and backslashes are doubled, so reading back is exact.
 
-Turns are ordered by turn, role, text, nulls first; null text or role reads as empty; repeated
-rows are turns of their own. A null conversation id is a conversation. No rows, no packs.
+Turns are ordered by turn, role, text, nulls first, so rows that tie in all three are equal; null
+text or role reads as empty; repeated rows are turns of their own. Nothing says which rows without a
+conversation id belong together: each is a conversation of its own turn, with a null id. Texts of
+any length are whole nodes. Columns other than the four are not looked at. No rows, no packs.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,10 +51,8 @@ PACK = 32
 #: Rows of hot prefixes, with their texts, that may be broadcast.
 BROADCAST_ROOTS = 20_000
 
-_CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
-_TURN = re.compile(
-    r"<s>\[INST\] (?P<user>.*?) \[/INST\]|<<SYS>> (?P<system>.*?) <</SYS>>|<<TURN>>(?P<role>(?:[^\\\n]|\\.)*)\n(?P<other>.*?)<</TURN>>| (?P<assistant>.*?) </s>", re.DOTALL
-)
+_ROLE = re.compile(r"((?:[^\\\n]|\\.)*)\n", re.DOTALL)
+_ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 PACK_SCHEMA = (
     "pack string, text string, nodes array<struct<parent:int, start:int, end:int, loss_start:int, loss_end:int, position:int, attends:array<struct<start:int, end:int>>>>, "
@@ -62,12 +62,15 @@ PACK_SCHEMA = (
 
 def escape(text: str, line: bool = False) -> str:
     """Reversible: no control string is left, nor (with line) a bare line feed."""
-    text = _CONTROL.sub(lambda m: m[0][0] + "\\" + m[0][1:], text.replace("\\", "\\\\"))
+    text = text.replace("\\", "\\\\")
+    for c in CONTROL:  # none begins as another one ends, so they are found one by one
+        if c in text:
+            text = text.replace(c, c[0] + "\\" + c[1:])
     return text.replace("\n", "\\\n") if line else text
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
+    return _ESCAPED.sub(r"\1", text) if "\\" in text else text
 
 
 def frame(role: str, text: str) -> tuple[str, str, str]:
@@ -78,14 +81,15 @@ def frame(role: str, text: str) -> tuple[str, str, str]:
 
 
 def read_turn(segment: str) -> tuple[str, str]:
-    """(role, text) of one turn's formatted text."""
-    m = _TURN.fullmatch(segment)
-    if m is None:
-        raise ValueError("not a formatted turn")
-    for role in ("user", "assistant", "system"):
-        if m[role] is not None:
-            return role, unescape(m[role])
-    return unescape(m["role"]), unescape(m["other"])
+    """(role, text) of one turn's formatted text. As texts hold no control string, its ends tell the role."""
+    if segment.startswith(OTHER[0]) and segment.endswith(OTHER[2]):
+        head = _ROLE.match(segment, len(OTHER[0]))
+        if head:
+            return unescape(head[1]), unescape(segment[head.end() : -len(OTHER[2])])
+    for role, (before, after) in FRAMES.items():
+        if segment.startswith(before) and segment.endswith(after) and len(segment) >= len(before) + len(after):
+            return role, unescape(segment[len(before) : -len(after)])
+    raise ValueError("not a formatted turn")
 
 
 def build_pack(
@@ -140,7 +144,18 @@ def conversations_of(rows: DataFrame, conv_col: str = "conv_id", turn_col: str =
     """(conv_id, turns): turns in order, nulls as empty."""
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in (role_col, text_col))
     turns = F.sort_array(F.collect_list(F.struct(F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))))
-    return rows.groupBy(F.col(conv_col).alias("conv_id")).agg(turns.alias("turns"))
+    own = F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id())
+    return rows.groupBy(F.col(conv_col).alias("conv_id"), own.alias("own_")).agg(turns.alias("turns")).select("conv_id", "turns")
+
+
+def _pack_type(id_type: pa.DataType) -> pa.Schema:
+    """PACK_SCHEMA in Arrow's types."""
+    span = [("start", pa.int32()), ("end", pa.int32())]
+    node = pa.struct([("parent", pa.int32()), *span, ("loss_start", pa.int32()), ("loss_end", pa.int32()), ("position", pa.int32()), ("attends", pa.list_(pa.struct(span)))])
+    leaf = pa.struct([("conv_id", id_type), ("node", pa.int32())])
+    return pa.schema(
+        [("pack", pa.string()), ("text", pa.string()), ("nodes", pa.list_(node)), ("leaves", pa.list_(leaf)), ("tokens", pa.list_(pa.int32())), ("roots", pa.list_(pa.string())), ("offset", pa.int32())]
+    )
 
 
 def pack_conversations(conversations: DataFrame, pack: int = PACK, encode: Callable[[str], list[int]] | None = None) -> DataFrame:
@@ -152,57 +167,54 @@ def pack_conversations(conversations: DataFrame, pack: int = PACK, encode: Calla
         F.array().cast("array<string>"),
         lambda so_far, t: F.concat(so_far, F.array(F.sha2(F.concat_ws("\n", F.get(so_far, F.size(so_far) - 1), F.char_length(t["role"]).cast("string"), t["role"], t["text"]), 256))),
     )
-    rows = conversations.withColumn("names", names)
-    prefixes = rows.select("conv_id", F.posexplode("names").alias("at", "prefix"), "names").withColumn("parent", F.get("names", F.col("at") - 1))
-    # One slim row a prefix; counts are summed before the shuffle. The conversation of the least id writes the prefix's row.
-    hot = prefixes.groupBy("prefix").agg(F.count("*").alias("n"), F.min("conv_id").alias("writer"), F.max("parent").alias("parent")).filter(F.col("n") > pack)
+    rows = materialise(conversations.select(F.monotonically_increasing_id().alias("row_"), "conv_id", "turns", names.alias("names")), "conversations")
+    prefixes = rows.select("row_", F.posexplode("names").alias("at", "prefix"), "names").withColumn("parent", F.get("names", F.col("at") - 1))
+    # One slim row a prefix; counts are summed before the shuffle. The conversation of the least row writes the prefix's row.
+    hot = prefixes.groupBy("prefix").agg(F.count("*").alias("n"), F.min("row_").alias("writer"), F.max("parent").alias("parent")).filter(F.col("n") > pack)
     hot = materialise(hot, "hot-prefixes")
     below = hot.groupBy(F.col("parent").alias("above")).agg(F.sum("n").alias("below"))
     hot = hot.join(below, hot["prefix"] == below["above"], "left")
     hot = hot.select(F.col("prefix").alias("hot"), "writer", F.ceil((F.col("n") - F.coalesce("below", F.lit(0))) / pack).cast("int").alias("packs"))
     # One row for every `pack` turns at most; broadcast once counted to be few.
     hot = bounded(materialise(hot, "hot-packs"))
-    whole = F.when(F.coalesce("at", F.lit(0)) == 0, F.struct("turns", "names")).alias("whole")
-    found = rows.select("conv_id", "turns", "names", F.posexplode_outer("names").alias("at", "prefix")).select("conv_id", "at", "prefix", whole)
-    rows = (
-        found.join(hot, found["prefix"] == hot["hot"], "left")
-        .groupBy("conv_id")
-        .agg(
-            F.first("whole", ignorenulls=True).alias("whole"),
-            F.count("hot").cast("int").alias("depth"),
-            F.max_by("packs", F.when(F.col("hot").isNotNull(), F.col("at"))).alias("packs"),
-            F.collect_list(F.when(F.col("writer") == F.col("conv_id"), F.col("at"))).alias("writes"),
-        )
-        .select("conv_id", "whole.turns", "whole.names", "depth", "packs", "writes")
+    found = rows.select("row_", F.posexplode("names").alias("at", "prefix")).join(hot, F.col("prefix") == F.col("hot"))
+    found = found.groupBy("row_").agg(
+        F.count("*").cast("int").alias("depth"),
+        F.max_by("packs", "at").alias("packs"),
+        F.collect_list(F.when(F.col("writer") == F.col("row_"), F.col("at"))).alias("writes"),
     )
+    rows = rows.join(found, "row_", "left")
+    depth = F.coalesce("depth", F.lit(0))
     # Below a hot prefix, whole subtrees are dealt over as many packs as their conversations fill.
-    following = F.get("names", F.col("depth"))
-    deal = F.pmod(F.when(following.isNull(), F.xxhash64("conv_id")).otherwise(F.xxhash64(following)), F.greatest("packs", F.lit(1)))
-    deal = F.when(F.col("depth") > 0, deal).otherwise(0).cast("string")
-    head = F.get("names", F.greatest(F.col("depth") - 1, F.lit(0)))
-    rows = rows.select("conv_id", "turns", F.slice("names", F.lit(1), F.col("depth")).alias("roots"), "writes", F.concat_ws("-", head, deal).alias("pack"))
-    rows = rows.repartition("pack").sortWithinPartitions("pack", "conv_id")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, above, roots, held, done = None, (), (), [], []
-        for frame_ in frames:
-            for conv, turns, names_, writes, key in zip(frame_["conv_id"], frame_["turns"], frame_["roots"], frame_["writes"], frame_["pack"], strict=True):
+    following = F.get("names", depth)
+    deal = F.pmod(F.when(following.isNull(), F.xxhash64("row_")).otherwise(F.xxhash64(following)), F.greatest("packs", F.lit(1)))
+    deal = F.when(depth > 0, deal).otherwise(0).cast("string")
+    head = F.get("names", F.greatest(depth - 1, F.lit(0)))
+    writes = F.coalesce("writes", F.array().cast("array<int>"))
+    rows = rows.select("conv_id", "turns", F.slice("names", F.lit(1), depth).alias("roots"), writes.alias("writes"), F.concat_ws("-", head, deal).alias("pack"), "row_")
+    rows = rows.repartition("pack").sortWithinPartitions("pack", "conv_id", "row_").drop("row_")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, above, roots, held, done, schema = None, (), (), [], [], None
+        for batch in batches:
+            schema = schema or _pack_type(batch.schema.field(0).type)
+            for conv, turns, names_, writes, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != name and held:
                     done.append(build_pack(name, held, encode, roots, above))
                     held = []
                 turns, roots, name = [(t["role"], t["text"]) for t in turns], tuple(names_), key
                 above = tuple(turns[: len(roots)])
-                held.append((None if pd.isna(conv) else conv, turns[len(roots) :]))
+                held.append((conv, turns[len(roots) :]))
                 done += [build_pack(roots[at], [(None, [turns[at]])], encode, roots[:at], above[:at]) | {"leaves": []} for at in writes]
                 if len(done) >= 200:
-                    yield pd.DataFrame(done)
+                    yield pa.RecordBatch.from_pylist(done, schema)
                     done = []
         if held:
             done.append(build_pack(name, held, encode, roots, above))
         if done:
-            yield pd.DataFrame(done)
+            yield pa.RecordBatch.from_pylist(done, schema)
 
-    return rows.mapInPandas(run, PACK_SCHEMA.format(id=id_type))
+    return rows.mapInArrow(run, PACK_SCHEMA.format(id=id_type))
 
 
 def read_packs(packs: DataFrame) -> DataFrame:
@@ -215,31 +227,38 @@ def read_packs(packs: DataFrame) -> DataFrame:
     roots = packs.filter(~leafy).select(F.col("pack").alias("root"), F.col("text").alias("root_text"))
     links = packs.filter(leafy).select("pack", F.posexplode("roots").alias("at", "root")).join(bounded(roots, BROADCAST_ROOTS), "root")
     links = links.groupBy("pack").agg(F.sort_array(F.collect_list(F.struct("at", "root_text"))).alias("above"))
-    own = packs.filter(leafy).join(links, "pack", "left").select("text", "nodes", "leaves", F.coalesce(F.col("above.root_text"), F.array().cast("array<string>")).alias("above"))
+    nodes = F.transform("nodes", lambda n: F.struct(n["parent"].alias("parent"), n["start"].alias("start"), n["end"].alias("end"), n["loss_start"].alias("loss_start"), n["loss_end"].alias("loss_end")))
+    own = packs.filter(leafy).join(links, "pack", "left").select("text", nodes.alias("nodes"), "leaves", F.coalesce(F.col("above.root_text"), F.array().cast("array<string>")).alias("above"))
     id_type = packs.schema["leaves"].dataType.elementType["conv_id"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame_ in frames:
-            for text, nodes, leaves, above in zip(frame_["text"], frame_["nodes"], frame_["leaves"], frame_["above"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = pa.struct([("role", pa.string()), ("text", pa.string())])
+        for batch in batches:
+            leaf_type = batch.schema.field(2).type.value_type.field("conv_id").type
+            schema = pa.schema([("conv_id", leaf_type), ("turns", pa.list_(turn)), ("loss", pa.list_(pa.string())), ("formatted_chars", pa.int64())])
+            for row in range(batch.num_rows):  # a pack at a time
+                text, nodes, leaves, above = (c[row].as_py() for c in batch.columns)
                 out, read = [], {}
-                shared = [read_turn(t) for t in above]
+                shared = [{"role": role, "text": said} for role, said in map(read_turn, above)]
+                shared_loss = [t["text"] for t in shared if t["role"] == "assistant"]
+                shared_chars = sum(map(len, above))
                 for leaf in leaves:
                     path, at = [], leaf["node"]
                     while at >= 0:
                         path.append(at)
                         at = nodes[at]["parent"]
-                    turns = [{"role": role, "text": said} for role, said in shared]
-                    loss = [said for role, said in shared if role == "assistant"]
-                    chars = sum(map(len, above))
+                    turns, loss, chars = list(shared), list(shared_loss), shared_chars
                     for i in reversed(path):
                         node = nodes[i]
                         if i not in read:
-                            read[i] = read_turn(text[node["start"] : node["end"]])
-                        turns.append({"role": read[i][0], "text": read[i][1]})
+                            role, said = read_turn(text[node["start"] : node["end"]])
+                            masked = unescape(text[node["loss_start"] : node["loss_end"]]) if node["loss_end"] > node["loss_start"] else None
+                            read[i] = {"role": role, "text": said}, masked
+                        turns.append(read[i][0])
                         chars += node["end"] - node["start"]
-                        if node["loss_end"] > node["loss_start"]:
-                            loss.append(unescape(text[node["loss_start"] : node["loss_end"]]))
+                        if read[i][1] is not None:
+                            loss.append(read[i][1])
                     out.append({"conv_id": leaf["conv_id"], "turns": turns, "loss": loss, "formatted_chars": chars})
-                yield pd.DataFrame(out)
+                yield pa.RecordBatch.from_pylist(out, schema)
 
-    return own.mapInPandas(run, f"conv_id {id_type}, turns array<struct<role:string, text:string>>, loss array<string>, formatted_chars long")
+    return own.mapInArrow(run, f"conv_id {id_type}, turns array<struct<role:string, text:string>>, loss array<string>, formatted_chars long")

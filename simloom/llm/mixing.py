@@ -7,10 +7,14 @@ each document's own offset, and the source's budget cuts that order: a document
 for every whole epoch the budget holds, and once more (in part, at the cut) while the rest of
 the budget lasts. DataFrame operations only.
 
+Rows of one id have one key. A bucket that is hot for that reason is split further, along the order
+inside it, by key, size and a salt, as rows equal in key, id and size may change places.
+
 Nulls: a null source is a source of its own and comes last; a null or empty text has size 0 and
 gets nothing; a null id is an ordinary id. Repeated rows are documents of their own; ties in the
-random order are broken by id, size and text hash, and rows equal in these are interchangeable.
-An empty table gives an empty result.
+random order are broken by id and size, and rows equal in these are interchangeable. Long texts are
+only counted. An empty table gives an empty result. Columns other than id, text and source are not
+looked at.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bounded, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows a bucket of the random order holds on average.
@@ -30,6 +34,10 @@ WEIGHTS = (5, 2, 1)
 #: A source gives at most so many times its own size.
 EPOCHS = 3
 
+#: A bucket of more than so many times bucket_rows is hot; salts it is split by, besides key and size.
+HOT = 8
+SALTS = 64
+
 _KEY_BITS = 60
 
 
@@ -74,18 +82,21 @@ def mix(
             F.coalesce(F.col(source_col), F.lit("")).alias("source_"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             key.alias("key"),
-            F.xxhash64(F.col(text_col)).alias("tie"),
+            F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).alias("salt"),
         ),
         "mix-sizes",
     )
     bits = max(LEAST_BITS, (rows.count() // bucket_rows).bit_length())
-    rows = rows.withColumn("bucket", F.shiftright("key", _KEY_BITS - bits))
+    rows = rows.withColumn("range", F.shiftright("key", _KEY_BITS - bits))
+    hot = rows.groupBy("range").agg(F.count("*").alias("rows_")).filter(F.col("rows_") > HOT * bucket_rows).select("range", F.lit(True).alias("hot"))
+    finer = F.when(F.col("hot"), F.struct("key", "size", "salt"))
+    rows = rows.join(bounded(materialise(hot, "hot-ranges")), "range", "left").withColumn("bucket", F.struct("range", finer.alias("finer")))
     source = ["no_source", "source_"]
     buckets = rows.groupBy(*source, "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy(*source).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select(*source, "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("bucket_at"))
     plan = offsets.join(source_targets(buckets.select(*source, F.col("bucket_size").alias("size")), weights, epochs), source)
-    inside = Window.partitionBy(*source, "bucket").orderBy("key", "id_", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*source, "bucket").orderBy("key", "id_", "size").rowsBetween(Window.unboundedPreceding, -1)
     at = F.coalesce(F.sum("size").over(inside), F.lit(0))
     placed = rows.withColumn("inside_at", at).join(plan, [*source, "bucket"])
     budget = F.floor("target").cast("long")

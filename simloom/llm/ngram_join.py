@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import arrow_rows, bounded, materialise
+from .common import arrow_rows, bounded, materialise, tidied
 from .wordhash import Words, chunks, lists
 
 K = 5
@@ -555,7 +555,8 @@ def jaccard_components(
         numbers = texts.select("id").filter("id is not null").distinct().orderBy("id").select("id", F.monotonically_increasing_id().alias("number"))
         numbers = materialise(numbers, "id-numbers")
         texts = texts.join(numbers, "id", "left").select(F.col("number").alias("id"), "text")
-    with arrow_rows(docs.sparkSession, ARROW_ROWS):  # all jobs with Python run before this returns
+    spark = docs.sparkSession
+    with arrow_rows(spark, ARROW_ROWS), tidied(spark, "id-numbers", "prefixes", "class-components"):  # all jobs with Python run before this returns
         found = _components_of(texts, k, percent, frequent, most_frequent)
     if numbers is None:
         return found.select(F.col("id").cast(id_type).alias(id_col), "n_shingles", F.col("component").cast(id_type).alias("component_id"))

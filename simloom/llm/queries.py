@@ -61,7 +61,7 @@ from x
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's source stands for its host; n_lines and n_kept count lines before and after."""
     out = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), F.col("source"))
-    return out.select("doc_id", F.col("__ld_n_lines").alias("n_lines"), F.col("__ld_n_kept").alias("n_kept"), "text")
+    return out.select("doc_id", F.col(line_dedup.N_LINES).alias("n_lines"), F.col(line_dedup.N_KEPT).alias("n_kept"), "text")
 
 
 def line_dedup_sql(docs: str) -> str:
@@ -104,14 +104,14 @@ def _escaped_sql() -> str:
 
 
 OP6_SQL = f"""
-with r as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all select * from (values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)),
+with r as (select conv_id, case when conv_id is null then row_number() over () end as own, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select conv_id, null, turn, role, text from (values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)),
 f as (select *, length({_escaped_sql().format(x="text")}) + case role when 'user' then 18 when 'assistant' then 6 when 'system' then 17
     else 18 + length(replace({_escaped_sql().format(x="role")}, chr(10), '\\' || chr(10))) end as chars from r)
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256, sum(chars)::bigint as formatted_chars
-from f group by conv_id
+from f group by conv_id, own
 """
 
 

@@ -40,11 +40,16 @@ def test_decontamination_edges(spark, odd, none):
     assert {r.n_hit for r in decontaminate.contamination(odd, frame(spark, [], BENCH)).collect()} == {0}
 
 
-def test_decontamination_in_blocks_is_the_same(spark, sf_dir):
+def test_decontamination_in_blocks_is_the_same(spark, sf_dir, monkeypatch):
+    """Blocks, whose hits overlap and whose items repeat, give what one gives."""
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    whole = decontaminate.contamination(docs, bench).orderBy("doc_id").collect()
-    assert decontaminate.contamination(docs, bench, block_bytes=500).orderBy("doc_id").collect() == whole
+    bench = bench.unionByName(bench.selectExpr("item_id + 1 as item_id", "substring(text, 40, 400) as text"))
+    whole = decontaminate.contamination(docs, bench, keep=("lang",)).orderBy("doc_id").collect()
     assert any(r.n_hit for r in whole)
+    for rows in (10**6, 0):
+        monkeypatch.setattr("simloom.llm.common.BROADCAST_ROWS", rows)
+        assert decontaminate.contamination(docs, bench, block_bytes=2000, keep=("lang",)).orderBy("doc_id").collect() == whole
+    assert len(list(decontaminate._blocks(bench.select("item_id", "text").filter("text is not null"), 2000))) > 3
 
 
 def test_wu_manber_against_brute_force():
@@ -160,10 +165,65 @@ def test_quality_edges(spark, odd, none):
     rows = quality.score(odd, model).collect()
     assert len(rows) == 9 and all(0 <= r.score <= 1 for r in rows)
     assert quality.score(none, model).count() == 0
-    assert quality.fit(odd, labels.filter("quality = 1")) is None
+    for wanted in (0, 1):  # labels of one class: that class
+        only = quality.fit(odd, frame(spark, [(d, wanted, 0) for d in (3, 5, 6, 7, 8)], "doc_id long, quality int, toxic int"))
+        assert {r.score for r in quality.score(odd, only).collect()} == {float(wanted)}
+    assert quality.fit(odd, labels.filter("quality > 1")) is None
     assert {r.score for r in quality.score(odd, None).collect()} == {1.0}
 
 
+def test_quality_learns_from_whole_texts(spark):
+    """Passages that are learnt from are spread over the text; of texts that share an id one counts."""
+    words = {0: "bad " * 80, 1: "good " * 80}
+    docs = frame(spark, [(i, words[0] * 30 + words[i % 2] * 10) for i in range(60)] + [(5, "other text of the id")] * 3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, most_passages=8)
+    rows = [r for r in quality.score(docs, model).collect() if r.doc_id != 5]
+    assert len(rows) == 59 and all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in rows)
+
+
+def test_quality_against_plain_loops():
+    """The forward pass against the formulas, the training step's gradient against differences."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    doc = np.array([0, 0, 0, 1, 2, 2])
+    x, y = rng.normal(size=(6, 5)), np.array([1.0, 0.0, 1.0])
+    p = {"W": rng.normal(size=(5, 4)), "b": rng.normal(size=4), "V": rng.normal(size=(4, 3)), "U": rng.normal(size=(4, 3)), "w": rng.normal(size=3), "c": rng.normal(size=4), "d": np.array(0.3)}
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def plain(p):
+        scores = []
+        for d in range(3):
+            coded = [np.tanh(x[i] @ p["W"] + p["b"]) for i in range(6) if doc[i] == d]
+            raw = [float(p["w"] @ (np.tanh(e @ p["V"]) * sigmoid(e @ p["U"]))) for e in coded]
+            weights = np.exp(raw) / np.sum(np.exp(raw))
+            scores.append(sigmoid(sum(a * e for a, e in zip(weights, coded, strict=True)) @ p["c"] + p["d"]))
+        return np.array(scores)
+
+    first = quality._first_of(doc)
+    assert np.allclose(quality._forward(p, x, first)["s"], plain(p))
+    loss = lambda p: -np.mean(y * np.log(plain(p)) + (1 - y) * np.log(1 - plain(p)))
+    found = quality._gradient(p, x, first, y)
+    for k, v in p.items():
+        for at in np.ndindex(v.shape):
+            up, down = ({**p, k: v.copy()} for _ in range(2))
+            up[k][at] += 1e-6
+            down[k][at] -= 1e-6
+            assert abs((loss(up) - loss(down)) / 2e-6 - found[k][at]) < 1e-6
+
+
+def test_mixing_of_hot_ids(spark):
+    """Rows of one id, or none, are split over buckets; every source still gets its target."""
+    rows = [(None if i % 2 else 7, "w " * (i % 9), "en", "a") for i in range(300)] + [(i, "one two", "en", "b") for i in range(50)]
+    for bucket_rows in (50_000, 2):
+        mixed = mixing.mix(frame(spark, rows), bucket_rows=bucket_rows).collect()
+        assert len(mixed) == 350 and all(0 <= r.taken <= 3 * r.size for r in mixed)
+        for size in {r.source_size for r in mixed}:
+            own = [r for r in mixed if r.source_size == size]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= 1
+
+
 def test_mixing_edges(spark, odd, none):
     rows = mixing.mix(odd).collect()
     assert len(rows) == 9 and all(0 <= r.taken <= 3 * r.size for r in rows)
@@ -243,6 +303,55 @@ def test_hot_chat_tree_emits_each_turn_once(spark):
     assert back == turns
 
 
+def test_a_thousand_conversations_of_one_first_turn(spark):
+    """Emitted characters are those of the whole trie, whatever the packs' size; a very long text is one node."""
+    random.seed(8)
+    turns = {}
+    for c in range(1000):
+        own = [("user", "the same question"), ("assistant", f"answer {c % 2}"), ("user", f"then {c % 50}"), ("assistant", f"own {random.randrange(700)}")]
+        turns[c] = own[: random.randint(1, 4)]
+    turns[1000] = [("user", "long " * 100_000), ("assistant", "short")]
+    rows = [(c, i, *t) for c, own in turns.items() for i, t in enumerate(own)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    trie = {tuple(own[: i + 1]) for own in turns.values() for i in range(len(own))}
+    want = sum(sum(map(len, chat_format.frame(*path[-1]))) for path in trie)
+    for pack in (32, 5):
+        packs = chat_format.pack_conversations(chat_format.conversations_of(table), pack=pack).collect()
+        assert sum(len(p.text) for p in packs) == want and sum(len(p.nodes) for p in packs) == len(trie)
+
+
+def test_rows_without_conversation(spark):
+    """Each is a conversation of its own, even a hot one."""
+    rows = [(None, 0, "user", "hi")] * 50 + [(None, 3, "assistant", "ho")] + [(1, 0, "user", "hi"), (1, 1, "assistant", "ho")]
+    table = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    frame_ = chat_format.pack_conversations(chat_format.conversations_of(table), pack=4)
+    back = [(r.conv_id, [(t.role, t.text) for t in r.turns]) for r in chat_format.read_packs(frame_).collect()]
+    assert sorted(map(str, back)) == sorted(map(str, [(None, [("user", "hi")])] * 50 + [(None, [("assistant", "ho")]), ("1", [("user", "hi"), ("assistant", "ho")])]))
+
+
+def test_shared_folder_is_asked_for(spark, monkeypatch):
+    """Off local masters there is no folder of our own; what was stored inside is deleted, but what is kept."""
+    from simloom.llm import common
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+        sparkContext = Context
+
+    with pytest.raises(ValueError):
+        common.shared_dir(Session)
+    with common.tidied(spark, "kept"):
+        kept, gone = common.materialise(spark.range(3), "kept"), common.materialise(spark.range(3), "gone")
+    assert kept.count() == 3
+    with pytest.raises(Exception):
+        gone.count()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 50)
+    wide = common.materialise(spark.range(10).selectExpr("repeat('x', 100) as s"), "wide")
+    assert common.bounded(wide) is wide and common.bounded(kept) is not kept
+
+
 def test_token_count_edges(spark, odd, none):
     import public_tokenizers
 

@@ -119,3 +119,15 @@ def test_repeated_passages_are_dropped(spark, sf_dir):
     more = docs.unionByName(docs.selectExpr("doc_id + 400 as doc_id", "concat('own line ', doc_id + 400) as text", "lang", "source", "n_chars"))
     kept = collections.Counter(line for r in corpus_pipeline.drop_repeated_lines(spark, more, sf_dir).collect() for line in r.text.split("\n"))
     assert [kept[passage[n]] for n in range(8)] == [3] * 6 + [2, 2]
+
+
+def test_repeated_ids(spark, sf_dir):
+    """Equal rows go; rows that share an id stay unless they are alike, and of those the least text hash does."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = [" ".join(f"w{i}" for i in range(a, a + 60)) for a in (0, 200, 400)]
+    near = [texts[0] + " end", texts[0] + " other"]
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[1]), (2, near[0]), (3, texts[2]), (4, near[1]), (4, near[0]), (5, None), (5, None), (None, texts[0])]
+    docs = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in rows], schema)
+    for parts in (1, 5):
+        got = sorted(map(str, ((r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_alike(spark, docs.repartition(parts), sf_dir).collect())))
+        assert got == sorted(map(str, [(1, texts[0]), (1, texts[1]), (3, texts[2]), (5, None), (None, texts[0])]))
