@@ -402,8 +402,8 @@ def _residual(posts: DataFrame, comps: DataFrame, percent: int) -> tuple[DataFra
     """
     rows = posts.filter("has_early").select("token", "id", "n", "at", "early")
     rows = rows.join(bounded(comps), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    every = Window.partitionBy("token")
-    rows = rows.withColumn("c_min", F.min("c").over(every)).withColumn("c_max", F.max("c").over(every)).filter("c_min <> c_max").select("token", "id", "n", "at", "early", "c")
+    several = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("token")
+    rows = rows.join(bounded(materialise(several, "open-tokens")), "token", "left_semi").select("token", "id", "n", "at", "early", "c")
     rows = materialise(rows, "open-groups")
     per = rows.groupBy("token", "c").agg(F.count("*").alias("m"), F.count(F.when(F.col("early"), 1)).alias("e"))
     stats = per.groupBy("token").agg(F.sum("m").alias("rows_"), F.sum("e").alias("e"), F.max(F.struct("m", "c", "e")).alias("big"))
@@ -478,10 +478,10 @@ def _block_groups(classes: DataFrame, percent: int) -> DataFrame:
     Classes that share a prefix shingle across components are put together; blocks are ranges of sizes that span a
     factor of 100 / percent, dealt in parts by a hash.
     """
-    every = Window.partitionBy("token")
     posts = classes.select("id", "c", F.explode("hot_prefix").alias("token"))
-    several = F.coalesce(F.min("c").over(every) != F.max("c").over(every), F.lit(True)) | (F.count("c").over(every) < F.count("*").over(every))
-    leads = posts.withColumn("several", several).withColumn("lead", F.min("id").over(every)).filter("several and lead <> id")
+    several = (F.min("c") != F.max("c")) | (F.count("c") < F.count("*"))
+    leads = posts.groupBy("token").agg(F.min("id").alias("lead"), F.coalesce(several, F.lit(True)).alias("several")).filter("several").select("token", "lead")
+    leads = posts.join(bounded(materialise(leads, "block-leads")), "token").filter("lead <> id")
     found = components(leads.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
     joint = classes.select("id", "c", "n").join(bounded(found.withColumnRenamed("component", "joint")), "id")
     width = math.log(100 / percent)
