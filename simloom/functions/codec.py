@@ -141,7 +141,7 @@ def words(unit_body: Column) -> list[Column]:
 
 
 def _code_units(digest: Column) -> Column:
-    """Units of one composite code, as digests."""
+    """Units of one composite code, as digests; none if its body is too short for them."""
     b, vers, mask, sub = body(digest), version(digest), length_field(digest), subtype(digest)
 
     def unit(main: int, st: Column | int, length: int, data: Column) -> Column:
@@ -153,7 +153,9 @@ def _code_units(digest: Column) -> Column:
     end = F.octet_length(b)
     static = [unit(DATA, 0, 1, F.substring(b, end - 15, F.lit(8))), unit(INSTANCE, 0, 1, F.substring(b, end - 7, F.lit(8)))]
     wide = F.array(unit(DATA, 0, 3, F.substring(b, 1, 16)), unit(INSTANCE, 0, 3, F.substring(b, 17, 16)))
-    return F.when(sub == WIDE, wide).otherwise(F.array_compact(F.array(*dynamic, *static)))
+    least = F.when(sub == WIDE, 32).otherwise(F.bit_count(mask.bitwiseAND(7)) * 8 + 16)
+    units = F.when(sub == WIDE, wide).otherwise(F.array_compact(F.array(*dynamic, *static)))
+    return F.when(end >= least, units).otherwise(F.array().cast("array<binary>"))
 
 
 def decompose(digest: Column) -> Column:
@@ -329,12 +331,17 @@ def simprints_of_features(features: Column, bits: int | None = None) -> Column:
 
 
 def expand_gateway(template: Column, iscc_id: Column, iscc_code: Column, datahash: Column) -> Column:
-    """URI template with {v}, {/v} and {.v} for the three variables; codes are lower-cased without prefix."""
-    values = {"iscc_id": F.lower(strip_prefix(iscc_id)), "iscc_code": F.lower(strip_prefix(iscc_code)), "datahash": datahash}
-    for name, value in values.items():
-        for operator in ("", "/", "."):
-            template = F.replace(template, F.lit("{" + operator + name + "}"), F.concat(F.lit(operator), value))
-    return template
+    """URI template with {v}, {/v} and {.v} for the three variables; codes are lower-cased without prefix.
+
+    The template is cut before and after braces; a piece that is a variable gives its value, others stay.
+    """
+    value = F.create_map(F.lit("iscc_id"), F.lower(strip_prefix(iscc_id)), F.lit("iscc_code"), F.lower(strip_prefix(iscc_code)), F.lit("datahash"), datahash)
+    variable = r"^\{([/.]?)(iscc_id|iscc_code|datahash)\}$"
+
+    def filled(piece: Column) -> Column:
+        return F.when(piece.rlike(variable), F.concat(F.regexp_extract(piece, variable, 1), value[F.regexp_extract(piece, variable, 2)])).otherwise(piece)
+
+    return F.array_join(F.transform(F.split(template, r"(?=\{)|(?<=\})", -1), filled), "")
 
 
 def instance_of_datahash(datahash: Column) -> Column:

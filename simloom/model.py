@@ -15,8 +15,6 @@ ASSET_FILE = (
     "iscc_id string, iscc_code string, iscc string, units array<string>, name string, "
     "features array<struct<maintype:string, subtype:string, version:int, simprints:array<string>, offsets:array<long>, sizes:array<long>>>, corrupt_ string"
 )
-#: Log records: a declaration or deletion inside note.
-LOG_RECORD = "iscc_id string, note struct<`$schema`:string, iscc_code:string, datahash:string, gateway:string, units:array<string>>"
 
 MODES = ("exact", "prefix", "similarity")
 

@@ -6,13 +6,17 @@ once. Deletions are counted and skipped: the index only ever grows.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from simloom.catalog import Index
-from simloom.functions import codec
-from simloom.model import LOG_RECORD
+from simloom.functions import digests
 
 #: The schemas of the two kinds of notes, and the realms of networks.
 DECLARATION = "http://purl.org/iscc/schema/iscc-note-0.8.0.json"
@@ -21,46 +25,62 @@ REALMS = {"testnet": 0, "mainnet": 1}
 REASONS = ("ok", "deletion", "unknown_schema", "malformed", "realm_mismatch")
 
 
+def _text(value) -> str | None:
+    return value if isinstance(value, str) else None
+
+
+def _entry(record: bytes | None, realm: int) -> dict:
+    """reason and, for a good declaration, the entry's columns."""
+    try:
+        log = json.loads(record or b"")
+        note = log["note"]
+        schema = _text(note.get("$schema"))
+    except (ValueError, TypeError, KeyError, AttributeError, RecursionError):
+        return {"reason": "malformed"}
+    if schema is None:
+        return {"reason": "malformed"}
+    if schema != DECLARATION:
+        return {"reason": "deletion" if schema == DELETION else "unknown_schema"}
+    iscc_id, code, datahash = _text(log.get("iscc_id")), _text(note.get("iscc_code")), _text(note.get("datahash"))
+    if digests.id_error(iscc_id):
+        return {"reason": "malformed"}
+    if digests.id_realm(iscc_id) != realm:
+        return {"reason": "realm_mismatch"}
+    listed = note.get("units") if isinstance(note.get("units"), list) else []
+    own, given, instance = digests.decompose(digests.decode(code)), [digests.decode(_text(u)) for u in listed], digests.instance_of_datahash(datahash)
+    if not own or instance is None or any(digests.unit_type(u) is None for u in own + given):
+        return {"reason": "malformed"}
+    gateway = _text(note.get("gateway"))
+    return {
+        "reason": "ok",
+        "iscc_id": iscc_id,
+        "asset_key": digests.id_key(iscc_id),
+        "iscc_code": code,
+        "units": [digests.canonical(u) for u in digests.longest_per_type([*own, *given, instance])],
+        "metadata": json.dumps({"gateway": digests.expand_gateway(gateway, iscc_id, code, datahash)}, ensure_ascii=False, separators=(",", ":")) if gateway else None,
+    }
+
+
+ENTRY = T.StructType().add("reason", "string").add("iscc_id", "string").add("asset_key", "long").add("iscc_code", "string").add("units", T.ArrayType(T.StringType())).add("metadata", "string")
+
+
 def classify(records: DataFrame, network: str) -> DataFrame:
     """records (…, record) with reason and, for declarations, iscc_id, asset_key, iscc_code, units, metadata.
 
     Units are the longest of each type among the code's, the note's and the instance unit of the
-    data hash, in that order. Never fails: what cannot be read is malformed.
+    data hash, in that order. Never fails: what cannot be read is malformed. Records are parsed in
+    one function over Arrow batches: their JSON is open-ended, and each of their codes is decoded once.
     """
-    realm = REALMS[network]
-    note, schema, id_ = F.col("log_.note"), F.col("log_.note")["$schema"], F.col("log_.iscc_id")
-    parsed = records.withColumn("log_", F.from_json(F.col("record").cast("string"), LOG_RECORD, {"mode": "PERMISSIVE"}))
-    # A column a step, so that each is computed once.
-    declared = schema == DECLARATION
-    parsed = parsed.withColumn("own_", F.when(declared, codec.decompose(codec.decode_base32(note["iscc_code"]))))
-    parsed = parsed.withColumn("given_", F.when(declared, F.transform(F.coalesce(note["units"], F.array().cast("array<string>")), codec.decode_base32)))
-    parsed = parsed.withColumn("instance_", codec.instance_of_datahash(note["datahash"]))
-    parsed = parsed.withColumn("units_", codec.longest_per_type(F.concat("own_", "given_", F.array("instance_"))))
-    parsed = parsed.withColumn("error_", F.when(declared, codec.id_error(id_))).withColumn("realm_", F.when(declared, codec.id_realm(id_)))
-    bad = F.exists(F.concat("own_", "given_"), lambda d: codec.unit_type(d).isNull())
-    readable = (F.size("own_") > 0) & F.col("instance_").isNotNull() & ~bad
-    reason = (
-        F.when(schema.isNull(), "malformed")
-        .when(schema == DELETION, "deletion")
-        .when(schema != DECLARATION, "unknown_schema")
-        .when(F.col("error_").isNotNull(), "malformed")
-        .when(F.col("realm_") != realm, "realm_mismatch")
-        .when(F.coalesce(readable, F.lit(False)), "ok")
-        .otherwise("malformed")
-    )
-    parsed = parsed.withColumn("reason", reason)
-    ok = F.col("reason") == "ok"
-    gateway = F.nullif(note["gateway"], F.lit(""))
-    metadata = F.to_json(F.struct(codec.expand_gateway(gateway, id_, note["iscc_code"], note["datahash"]).alias("gateway")))
-    return parsed.select(
-        *records.columns,
-        "reason",
-        F.when(ok, id_).alias("iscc_id"),
-        F.when(ok, codec.id_key(id_)).alias("asset_key"),
-        F.when(ok, note["iscc_code"]).alias("iscc_code"),
-        F.when(ok, F.transform("units_", codec.canonical)).alias("units"),
-        F.when(ok & gateway.isNotNull(), metadata).alias("metadata"),
-    )
+    realm, at = REALMS[network], records.columns.index("record")
+    types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_entry(r, realm) for r in batch.column(at).to_pylist()]
+            made = [pa.array([f.get(n) for f in found], t) for n, t in zip(ENTRY.names, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *ENTRY.names])
+
+    return records.mapInArrow(run, T.StructType(records.schema.fields + ENTRY.fields))
 
 
 def reason_counts(classified: DataFrame) -> DataFrame:
