@@ -19,16 +19,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from simloom.functions.codec import unsigned_order, words
+from simloom.operators.upsert import with_leads
+from simloom.store import stored
 
 WORDS = ("w0", "w1", "w2", "w3")
 
 
-def in_blocks(queries: DataFrame, key: str, block: int, match: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Union of match(part) over parts of queries by key, each of about `block` rows, hinted for broadcast."""
+def in_blocks(queries: DataFrame, keys: tuple[str, ...], block: int, match: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Union of match(part) over parts of queries by keys, each of about `block` rows, hinted for broadcast.
+
+    Queries are stored first, so they are computed once and counted from the files. A part has rows of any
+    query: whatever ranks a query's matches comes after the union.
+    """
+    queries = stored(queries, "queries")
     parts = queries.count() // block + 1
     if parts == 1:
         return match(F.broadcast(queries))
-    part = F.pmod(F.xxhash64(key), F.lit(parts))
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts))
     return reduce(DataFrame.unionByName, [match(F.broadcast(queries.filter(part == i))) for i in range(parts)])
 
 
@@ -39,7 +46,7 @@ def exact_code_join(assets: DataFrame, queries: DataFrame, block: int = 10_000)
     def match(part: DataFrame) -> DataFrame:
         return assets.join(part, assets["iscc_code"] == F.col("q_code")).select("query_id", "asset_key", F.lit(1.0).alias("score"))
 
-    return in_blocks(asked, "query_id", block, match)
+    return in_blocks(asked, ("query_id",), block, match)
 
 
 def _asked(queries: DataFrame) -> DataFrame:
@@ -48,13 +55,20 @@ def _asked(queries: DataFrame) -> DataFrame:
 
 
 def _prefix_join(units: DataFrame, queries: DataFrame, extra: Column, block: int) -> DataFrame:
-    """Pairs where one body is a prefix of the other. Both have 64 bits or more, so the first word is an equi key."""
+    """Pairs where one body is a prefix of the other.
+
+    Bodies of 64 bits and more meet by their first word, an equi key. Shorter ones, on either side, are met
+    by as many bits as they have, length by length: bodies have whole 32 bits, so there is one length below 64.
+    """
     either = F.col("body").startswith(F.col("q_body")) | F.col("q_body").startswith(F.col("body"))
 
     def match(part: DataFrame) -> DataFrame:
-        return units.join(part, (units["unit_type"] == F.col("q_type")) & (units["w0"] == F.col("q_w0")) & either & extra)
+        short = (F.col("nbits") < 64) | (F.col("q_nbits") < 64)
+        half = F.shiftright(units["w0"], 32) == F.shiftright("q_w0", 32)
+        long = units.join(part, (units["unit_type"] == F.col("q_type")) & (units["w0"] == F.col("q_w0")) & ~short & either & extra)
+        return long.unionByName(units.join(part, (units["unit_type"] == F.col("q_type")) & half & short & either & extra))
 
-    return in_blocks(_asked(queries), "query_id", block, match)
+    return in_blocks(_asked(queries), ("query_id", "unit_pos"), block, match)
 
 
 def prefix_join_graded(units: DataFrame, queries: DataFrame, block: int = 10_000) -> DataFrame:
@@ -102,13 +116,13 @@ def nphd_nearest(units: DataFrame, queries: DataFrame, limit: int = 100, block:
     Exact; equals are ordered by key. The rank filter is pushed below the shuffle, so each task
     sends `limit` rows a query at most.
     """
-    stored = units.filter(~F.col("unit_type").startswith("INSTANCE_"))
+    kept = units.filter(~F.col("unit_type").startswith("INSTANCE_"))
 
     def match(part: DataFrame) -> DataFrame:
-        met = stored.join(part, stored["unit_type"] == F.col("q_type"))
+        met = kept.join(part, kept["unit_type"] == F.col("q_type"))
         return met.select("query_id", "unit_pos", "unit_type", "asset_key", nphd_score(F.col("nbits"), F.col("q_nbits")).alias("score"))
 
-    near = in_blocks(_asked(queries), "query_id", block, match)
+    near = in_blocks(_asked(queries), ("query_id", "unit_pos"), block, match)
     order = Window.partitionBy("query_id", "unit_type", "unit_pos").orderBy(F.desc("score"), unsigned_order(F.col("asset_key")))
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
@@ -116,23 +130,22 @@ def nphd_nearest(units: DataFrame, queries: DataFrame, limit: int = 100, block:
 def segment_nearest(segments: DataFrame, queries: DataFrame, limit: int = 100, oversampling: int = 20, block: int = 10_000) -> DataFrame:
     """(query_id, sp_type, sp_pos, q_sp, asset_key, sp, offset, size, score, rank): nearest segments by Hamming distance.
 
-    One segment a place is looked at: at the same (asset, offset, size) the first in byte order.
+    One segment a place is looked at: at the same (asset, offset, size) the first in byte order, which an
+    index marks when segments are stored (lead).
     `limit * 2 * oversampling` segments a query segment are kept, as the search of assets needs more
     segments than assets.
     """
-    place = Window.partitionBy("sp_type", "asset_key", "offset", "size").orderBy("sp")
-    stored = segments.withColumn("at", F.row_number().over(place)).filter("at = 1").drop("at")
-    stored = stored.select("*", *(w.alias(n) for n, w in zip(WORDS, words(F.col("sp")), strict=True)))
+    kept = (segments if "lead" in segments.columns else with_leads(segments)).filter("lead")
     asked = queries.select("query_id", F.col("sp_type").alias("q_type"), "sp_pos", F.col("sp").alias("q_sp"))
     asked = asked.select("*", *(w.alias(f"q_{n}") for n, w in zip(WORDS, words(F.col("q_sp")), strict=True)))
     bits = F.octet_length("sp") * 8
     score = 1 - hamming([F.col(w) for w in WORDS], [F.col(f"q_{w}") for w in WORDS]) / bits
 
     def match(part: DataFrame) -> DataFrame:
-        met = stored.join(part, (stored["sp_type"] == F.col("q_type")) & (F.octet_length("sp") == F.octet_length("q_sp")))
+        met = kept.join(part, (kept["sp_type"] == F.col("q_type")) & (F.octet_length("sp") == F.octet_length("q_sp")))
         return met.select("query_id", "sp_type", "sp_pos", "q_sp", "asset_key", "sp", "offset", "size", score.alias("score"))
 
-    near = in_blocks(asked, "query_id", block, match)
+    near = in_blocks(asked, ("query_id", "sp_pos"), block, match)
     order = Window.partitionBy("query_id", "sp_type", "sp_pos").orderBy(F.desc("score"), unsigned_order(F.col("asset_key")), "offset", "size")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(1, limit * 2 * oversampling))
 
@@ -145,6 +158,6 @@ def segment_exact(segments: DataFrame, queries: DataFrame, dup_limit: int = 1000
         met = segments.join(part, (segments["sp_type"] == F.col("q_type")) & (segments["sp"] == F.col("q_sp")))
         return met.select("query_id", "sp_type", "sp_pos", "sp", "asset_key", "offset", "size")
 
-    found = in_blocks(asked, "query_id", block, match)
+    found = in_blocks(asked, ("query_id", "sp_pos"), block, match)
     order = Window.partitionBy("query_id", "sp_type", "sp_pos").orderBy(unsigned_order(F.col("asset_key")), "offset", "size")
     return found.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= dup_limit).drop("at")

@@ -7,12 +7,13 @@ Metadata is joined after the top-k, so only results are looked up.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simloom.functions import codec
 from simloom.model import Options
 from simloom.operators import match, score
+from simloom.store import stored
 
 
 def get_assets(assets: DataFrame, ids: DataFrame) -> DataFrame:
@@ -59,6 +60,36 @@ def units_of(frame: DataFrame, key: str, units: str = "units") -> DataFrame:
     return flat.select(key, "unit_pos", "unit_type", "nbits", *(w.alias(f"w{i}") for i, w in enumerate(codec.words(F.col("body")))), "body")
 
 
+def segments_of(frame: DataFrame, key: str, simprints: str = "simprints") -> DataFrame:
+    """(key, sp_type, sp, offset, size) of entries' segments, each once; those that are no base64 go."""
+    flat = frame.select(key, F.explode(simprints).alias("s")).select(key, "s.sp_type", codec.decode_simprint(F.col("s.simprint")).alias("sp"), "s.offset", "s.size")
+    return flat.filter("sp is not null and sp_type is not null").distinct()
+
+
+def query_segments_of(queries: DataFrame) -> DataFrame:
+    """(query_id, sp_pos, sp_type, sp) of (query_id, simprints map<type, array<text>>)."""
+    flat = queries.select("query_id", F.explode("simprints").alias("sp_type", "listed")).select("query_id", "sp_type", F.posexplode("listed").alias("sp_pos", "text"))
+    return flat.select("query_id", F.col("sp_pos").cast("long").alias("sp_pos"), "sp_type", codec.decode_simprint(F.col("text")).alias("sp")).filter("sp is not null")
+
+
+def shown(results: DataFrame) -> DataFrame:
+    """Chunk matches with the segments in their chunks as text: (query, match, score, freq, offset, size)."""
+
+    def chunk(c: Column) -> Column:
+        text = [codec.encode_simprint(c[old]).alias(new) for old, new in (("q_sp", "query"), ("match", "match"))]
+        return F.struct(*text, *(c[n].alias(n) for n in ("score", "freq", "offset", "size")))
+
+    def detail(_: Column, d: Column) -> Column:
+        return F.struct(*(d[n].alias(n) for n in ("score", "matches", "queried")), F.transform(d["chunks"], chunk).alias("chunks"))
+
+    return results.withColumn("types", F.transform_values("types", detail))
+
+
+def with_source(results: DataFrame) -> DataFrame:
+    """Results with the URL that their metadata names."""
+    return results.withColumn("source", F.get_json_object("metadata", "$.source"))
+
+
 def search_exact(assets: DataFrame, queries: DataFrame, options: Options = Options()) -> DataFrame:
     """Assets with the query's composite code: (query_id, asset_key, score 1, types, rank)."""
     own = queries.filter("iscc_code is not null")
@@ -97,8 +128,11 @@ def search_segments(segments: DataFrame, queries: DataFrame, total_assets: int,
     if exact:
         per = score.coverage_quality(match.segment_exact(segments, queries, options.dup_limit, options.query_block), queries, options.threshold_simprints)
     else:
-        near = match.segment_nearest(segments, queries, options.limit, options.oversampling, options.query_block)
-        per = score.idf_weighted(near, queries, score.document_frequency(segments, options.dup_limit), total_assets, options.threshold_simprints)
+        near = stored(match.segment_nearest(segments, queries, options.limit, options.oversampling, options.query_block), "near-segments")
+        # Frequencies of the segments that were asked for or met only.
+        met = near.select("sp_type", "sp").union(queries.select("sp_type", "sp")).distinct()
+        freqs = score.document_frequency(segments.join(met, ["sp_type", "sp"], "left_semi"), options.dup_limit)
+        per = score.idf_weighted(near, queries, freqs, total_assets, options.threshold_simprints)
     per = score.top_k(per, 2 * options.limit, ("query_id", "sp_type")).drop("rank")
     return score.top_k(score.mean_over_types(per), options.limit)
 
@@ -110,7 +144,7 @@ def with_metadata(results: DataFrame, assets: DataFrame) -> DataFrame:
 
 def search(assets: DataFrame, units: DataFrame, queries: DataFrame, options: Options = Options()) -> DataFrame:
     """The whole path in one mode: expand ids, normalise, match, score, rank, look up metadata."""
-    asked = normalise(expand_by_id(queries, assets)).filter("valid")
+    asked = stored(normalise(expand_by_id(queries, assets)).filter("valid"), "asked")
     if options.mode == "exact":
         found = search_exact(assets, asked, options)
     else:

@@ -9,11 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from simloom.functions.codec import words
+
+
+def print_of() -> Column:
+    """Aggregate: one value of a set of segments (sp, offset, size), whatever their order."""
+    one = F.concat_ws(":", F.hex("sp"), "offset", "size")
+    return F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(one))), 256)
+
 
 def fingerprint(segments: DataFrame) -> DataFrame:
     """(asset_key, sp_type, fingerprint) of (asset_key, sp_type, sp, offset, size), whatever the order of rows."""
-    one = F.concat_ws(":", F.hex("sp"), "offset", "size")
-    return segments.groupBy("asset_key", "sp_type").agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(one))), 256).alias("fingerprint"))
+    return segments.groupBy("asset_key", "sp_type").agg(print_of().alias("fingerprint"))
+
+
+def with_leads(segments: DataFrame) -> DataFrame:
+    """segments with their words w0..w3 and lead: the first in byte order at a (sp_type, asset, offset, size)."""
+    place = Window.partitionBy("sp_type", "asset_key", "offset", "size").orderBy("sp")
+    own = segments.withColumn("lead", F.row_number().over(place) == 1)
+    return own.withColumns({f"w{i}": w for i, w in enumerate(words(F.col("sp")))})
 
 
 def statuses(batch: DataFrame, assets: DataFrame) -> DataFrame:

@@ -7,10 +7,14 @@ by 20.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simloom.functions import codec
+from simloom.sources import tlog
+from simloom.store import Files
 
 CONTENT_TYPE, INSTANCE_TYPE, SEGMENT_TYPE, VECTOR_TYPE = "CONTENT_TEXT_V0", "INSTANCE_NONE_V0", "CONTENT_TEXT_V0", "SEMANTIC_TEXT_V0"
 EVERY = 20
@@ -74,6 +78,32 @@ def text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("asset_key", F.lit(SEGMENT_TYPE).alias("sp_type"), F.unhex(F.substring(F.md5(F.array_join(part, " ")), 1, 16)).alias("sp"), F.col("offset").cast("long").alias("offset"), F.size(part).cast("long").alias("size"))
 
 
+def two_kinds_of_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of eight words and, as another type, of twice as many."""
+    first = text_segments(spark, sf_dir)
+    words = F.split("text", " ")
+    rows = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("asset_key"), words.alias("w"))
+    rows = rows.withColumn("offset", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(2 * WINDOW))))
+    part = F.slice("w", F.col("offset") + 1, F.lit(2 * WINDOW))
+    second = rows.select("asset_key", F.lit(VECTOR_TYPE).alias("sp_type"), F.unhex(F.substring(F.md5(F.array_join(part, " ")), 1, 16)).alias("sp"), F.col("offset").cast("long").alias("offset"), F.size(part).cast("long").alias("size"))
+    return first.unionByName(second)
+
+
+def index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of documents for an index: codes, metadata and two kinds of segments; their place is the document's id."""
+    own = assets(spark, sf_dir).filter("iscc_code is not null").withColumn("doc_id", F.shiftright("asset_key", 12) - 1_000_000)
+    one = F.struct("sp_type", codec.encode_simprint(F.col("sp")).alias("simprint"), "offset", "size")
+    listed = two_kinds_of_segments(spark, sf_dir).groupBy(F.col("asset_key").alias("doc_id")).agg(F.collect_list(one).alias("simprints"))
+    return own.join(listed, "doc_id", "left").select("iscc_id", "iscc_code", "units", "metadata", "simprints", F.col("doc_id").alias("pos"))
+
+
+def segment_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, simprints): the segments of every twentieth document, each once, by type."""
+    own = query_segments(two_kinds_of_segments(spark, sf_dir))
+    listed = own.groupBy("query_id", "sp_type").agg(F.transform(F.sort_array(F.collect_list(F.struct("sp_pos", "sp"))), lambda x: codec.encode_simprint(x["sp"])).alias("l"))
+    return listed.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("sp_type", "l"))).alias("simprints"))
+
+
 def vector_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five vectors an asset, a segment each."""
     rows = table(spark, sf_dir, "embeddings")
@@ -96,6 +126,21 @@ qvs as (select k as q, t, s, min(o) as p from vs where k % {EVERY} = 0 group by
 """
 
 
+def exact_of_type_sql(name: str, window: int, kind: str) -> str:
+    """Exact scores of one segment type: {name}_sc (q, k, matches, n_q, s), the best forty of a query in {name}_top."""
+    return f"""
+{name}_ts as (select doc_id as k, substr(md5(array_to_string(list_slice(w, o + 1, o + {window}), ' ')), 1, 16) as s, o, len(list_slice(w, o + 1, o + {window})) as z
+  from (select doc_id, w, unnest(range(0, len(w), {window})) as o from (select doc_id, string_split(text, ' ') as w from documents where text is not null))),
+{name}_q as (select k as q, s from {name}_ts where k % {EVERY} = 0 group by k, s),
+{name}_hits as (select * from (select q, s, k, o, z, row_number() over (partition by q, s order by k, o, z) as r from {name}_ts join {name}_q using (s)) where r <= 1000),
+{name}_df as (select q, s, count(distinct k) as f from {name}_hits group by q, s),
+{name}_per as (select q, k, s, any_value(f) as f, count(*) as n from {name}_hits join {name}_df using (q, s) group by q, k, s),
+{name}_nq as (select q, count(*) as n_q from {name}_q group by q),
+{name}_agg as (select q, k, count(*) as found, sum(n) as matches, avg(1.0::double / f) as m, min(1.0::double / f) as lo, max(1.0::double / f) as hi from {name}_per group by q, k),
+{name}_sc as (select q, k, matches, n_q, found::double / n_q * case when lo = hi then 1 else (m - lo) / (hi - lo) end as s from {name}_agg join {name}_nq using (q)),
+{name}_top as (select *, '{kind}' as t from (select *, row_number() over (partition by q order by round(s, 9) desc, k) as r from {name}_sc where round(s, 9) >= 0.65) where r <= 40)"""
+
+
 def ids(key: Column) -> Column:
     """Asset ids of the fixtures: realm 0."""
     return codec.id_from_key(F.shiftleft(key + 1_000_000, 12), 0)
@@ -140,3 +185,20 @@ def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     note = F.struct(schema.alias("$schema"), code.alias("iscc_code"), F.concat(F.lit("1e20"), h).alias("datahash"), F.when(kind == 1, "https://{iscc_id}.x{/datahash}").alias("gateway"), F.array(long_data).alias("units"))
     record = F.when(kind == 5, F.lit("{not json")).otherwise(F.to_json(F.struct(iscc_id.alias("iscc_id"), note.alias("note"))))
     return e.select((F.col("event_id") % 2).alias("hub_id"), F.floor(F.col("event_id") / 2).alias("leaf_index"), record.cast("binary").alias("record"), "user_id", "event_id")
+
+
+def log_folders(spark: SparkSession, sf_dir: str, at: str) -> str:
+    """The logs of log_records as folders of hubs below `at`, and a hub list, whose path is returned."""
+    log = log_records(spark, sf_dir).select("hub_id", "leaf_index", "record")
+    framed = F.concat(F.lpad(F.hex(F.octet_length("record").cast("long")), 4, "0"), F.hex("record"))
+    bundles = log.groupBy("hub_id", F.floor(F.col("leaf_index") / tlog.WIDTH).alias("bundle")).agg(F.count("*").alias("n"), F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("leaf_index", framed.alias("f")))), lambda x: x["f"]), "")).alias("content"))
+    width = F.when(F.col("n") < tlog.WIDTH, F.col("n")).otherwise(0)
+    files, sizes = Files(spark, at), {}
+    for row in bundles.select("hub_id", "bundle", "n", "content", tlog.entries_path(F.col("bundle"), width).alias("path")).toLocalIterator():
+        files.create(f"{at}/hub{row['hub_id']}/log/{row['path']}", bytes(row["content"]))
+        sizes[row["hub_id"]] = sizes.get(row["hub_id"], 0) + row["n"]
+    for hub, size in sizes.items():
+        files.create(f"{at}/hub{hub}/log/checkpoint", f"hub{hub}\n{size}\nroot\n")
+    listing = {"version": 1, "network": "testnet", "hubs": [{"hub_id": hub, "url": f"{at}/hub{hub}", "active": True} for hub in sorted(sizes)]}
+    files.create(f"{at}/hubs.json", json.dumps(listing))
+    return f"{at}/hubs.json"

@@ -5,16 +5,21 @@ Keys name the inventory's operators. Scores are rounded, as sums may differ in t
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from simloom.catalog import Catalog
 from simloom.functions import codec
 from simloom.model import Options
 from simloom.operators import match, score, search, upsert
 from simloom.plans import fixtures as fx
 from simloom.sources import assets as asset_sources
 from simloom.sources import tlog
+from simloom.store import shared_dir
 from simloom.streaming import ingest
+from simloom.streaming.hubs import Poller
 
 #: Sign-bit codes of these vectors seldom reach the default threshold.
 OPTIONS = Options(threshold_units=0.65, threshold_simprints=0.65, limit=20)
@@ -379,6 +384,70 @@ def f8_search_segments_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "asset_key", F.round("score", 9).alias("score"), detail["matches"].alias("matches"), detail["queried"].alias("queried"), F.col("rank").cast("long").alias("rank"))
 
 
+def _index(spark: SparkSession, name: str, options: Options = OPTIONS):
+    """A new index in the shared folder."""
+    return Catalog(spark, f"{shared_dir(spark)}/indexes-{uuid.uuid4().hex}", options).create(name)
+
+
+@query(
+    "f11_index_segments",
+    f"""with {fx.exact_of_type_sql("a", fx.WINDOW, fx.SEGMENT_TYPE)}, {fx.exact_of_type_sql("b", 2 * fx.WINDOW, fx.VECTOR_TYPE)},
+both_ as (select q, k, t, s, matches, n_q from a_top union all select q, k, t, s, matches, n_q from b_top),
+m as (select q, k, avg(s) as score, string_agg(t || ':' || round(s * 1000000)::bigint || ':' || matches || ':' || n_q || ':' || matches, ',' order by t) as types from both_ group by q, k),
+r as (select *, row_number() over (partition by q order by round(score, 9) desc, k) as rank from m)
+select q as query_id, ((k + 1000000) << 12) as asset_key, round(score, 9) as score, types, rank, d.source from r join documents d on d.doc_id = k where rank <= 20""",
+)
+def f11_index_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segment types stored in an index and searched there: the mean over types, twice the limit a type, chunks and source."""
+    index = _index(spark, "segments")
+    index.upsert(fx.index_entries(spark, sf_dir))
+    found = index.search_segments(fx.segment_questions(spark, sf_dir), exact=True)
+    parts = (lambda d: (_micro(d["score"]), d["matches"], d["queried"], F.size(d["chunks"])))
+    types = F.array_join(F.transform(F.sort_array(F.map_entries("types")), lambda e: F.concat_ws(":", e["key"], *(p.cast("string") for p in parts(e["value"])))), ",")
+    return found.select("query_id", "asset_key", F.round("score", 9).alias("score"), types.alias("types"), F.col("rank").cast("long").alias("rank"), "source")
+
+
+@query(
+    "f16_index_stats",
+    f"""with d as (select doc_id, string_split(text, ' ') as w from documents where text is not null),
+s as (select '{fx.SEGMENT_TYPE}' as name, doc_id, md5(array_to_string(list_slice(w, o + 1, o + {fx.WINDOW}), ' ')) as h, o from (select *, unnest(range(0, len(w), {fx.WINDOW})) as o from d)
+  union all select '{fx.VECTOR_TYPE}', doc_id, md5(array_to_string(list_slice(w, o + 1, o + {2 * fx.WINDOW}), ' ')), o from (select *, unnest(range(0, len(w), {2 * fx.WINDOW})) as o from d))
+select 'segments' as what, name, count(*) as n from s group by name union all select 'bits', name, 64 from s group by name
+union all select 'units', x, (select count(*) from d) from (values ('DATA_NONE_V0'), ('INSTANCE_NONE_V0')) v(x) union all select 'assets', '', (select count(*) from d)""",
+)
+def f16_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an index counts of itself: assets, unit types, segment types and their bits."""
+    index = _index(spark, "stats")
+    index.upsert(fx.index_entries(spark, sf_dir))
+    stats = index.stats()
+    rows = [("assets", "", stats["assets"])]
+    for what, key in (("units", "types"), ("segments", "segment_types"), ("bits", "segment_bits")):
+        rows += [(what, name, n) for name, n in stats[key].items()]
+    return spark.createDataFrame(rows, "what string, name string, n long")
+
+
+@query(
+    "b3_index_replays",
+    """with n as (select count(*) as n from documents where text is not null)
+select 'first' as batch, 1::bigint as generations, true as wrote, n as created, 0::bigint as updated from n union all select 'replay', 0, false, 0, n from n
+union all select 'one asset', 1, true, 0, 1""",
+)
+def b3_index_replays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch, the same batch again, which writes nothing, and a change of one asset, which rewrites its bucket alone."""
+    index = _index(spark, "replays")
+    entries = fx.index_entries(spark, sf_dir)
+    one = entries.orderBy("pos").limit(1).withColumn("metadata", F.lit("{}"))
+    rows = []
+    for name, batch in (("first", entries), ("replay", entries), ("one asset", one)):
+        before = index.manifest()
+        summary = upsert.summary(index.upsert(batch)).first()
+        after = index.manifest()
+        moved = {b for t in after["tables"] for b, f in after["tables"][t].items() if before["tables"][t].get(b) != f}
+        wrote = bool(moved) if name != "one asset" else len(moved) == 1
+        rows.append((name, after["generation"] - before["generation"], wrote, summary["created"], summary["updated"]))
+    return spark.createDataFrame(rows, "batch string, generations long, wrote boolean, created long, updated long")
+
+
 @query("f6_document_frequency", f"{WITH_SEGMENTS} select s as sp, count(distinct k) as freq from (select *, row_number() over (partition by s order by k, o, z) as r from ts) where r <= 1000 group by s")
 def f6_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.document_frequency(fx.text_segments(spark, sf_dir)).select(F.lower(F.hex("sp")).alias("sp"), "freq")
@@ -628,9 +697,14 @@ x as (select (user_id + 5000) << 12 as k, '5001' || substr(h, 1, 16) || substr(h
 select k as asset_key, 'ISCC:' || {fx.base32_sql("code")} as iscc_code from x""",
 )
 def i2_followed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an index holds after both logs are read: of each asset the record with the greatest place."""
-    entries = ingest.classify(fx.log_records(spark, sf_dir), "testnet").filter("reason = 'ok'")
-    return upsert.last_of_batch(entries.withColumn("pos", F.struct("leaf_index", "hub_id"))).select("asset_key", "iscc_code")
+    """What an index holds after the logs of both hubs were polled: of each asset the record with the greatest place."""
+    at = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    poller = Poller(spark, _index(spark, "followed"), fx.log_folders(spark, sf_dir, at), "testnet", f"{at}/state")
+    poller.refresh()
+    failed = [s for s in poller.poll() if not s["ok"]]
+    if failed:
+        raise RuntimeError(f"hubs failed: {failed}")
+    return poller.index.table("assets").select("asset_key", "iscc_code")
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from simloom.functions import codec
 from simloom.model import ASSET_FILE
+from simloom.store import Files
 
 CODE_COLUMN = "iscc"
 UNIT_COLUMNS = ("iscc_meta", "iscc_semantic", "iscc_content", "iscc_data", "iscc_instance")
@@ -48,15 +49,32 @@ def entries_of_files(files: DataFrame, simprint_bits: int | None = None) -> tupl
     return entries, bad.select("file", error.alias("error"))
 
 
+def numbered(entries: DataFrame) -> DataFrame:
+    """Entries of files as an index loads them: their places as pos, in order of the files, and the source in the metadata."""
+    parsed = F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    metadata = F.to_json(F.map_concat(parsed, F.create_map(F.lit("source"), F.col("source"))))
+    return entries.orderBy("source").withColumn("pos", F.monotonically_increasing_id()).withColumn("metadata", metadata)
+
+
 def metadata_columns(schema: T.StructType) -> list[str]:
     """Scalar columns (strings, numbers, booleans) that are no code columns."""
     scalar = (T.StringType, T.IntegralType, T.FractionalType, T.BooleanType)
     return [f.name for f in schema.fields if f.name not in (CODE_COLUMN, *UNIT_COLUMNS) and isinstance(f.dataType, scalar) and not isinstance(f.dataType, T.DecimalType)]
 
 
-def dataset_rows(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Parquet rows with the code and metadata columns only; missing code columns are null."""
-    frame = spark.read.parquet(path)
+def dataset_files(spark: SparkSession, path: str, split: str | None = None) -> list[str]:
+    """Parquet files below path, in order; with a split those whose path below it has the split's name, in either case."""
+    files = Files(spark, path)
+    root = files.qualified(path)
+    return [f for f in files.files_below(path, ".parquet") if split is None or split.lower() in f.removeprefix(root).lower()]
+
+
+def dataset_rows(spark: SparkSession, path: str, limit: int | None = None, split: str | None = None) -> DataFrame:
+    """Parquet rows (of a split) with the code and metadata columns only; missing code columns are null."""
+    files = [path] if split is None else dataset_files(spark, path, split)
+    if not files:
+        raise FileNotFoundError(f"no Parquet files of split {split!r} below {path}")
+    frame = spark.read.parquet(*files)
     keep = [c for c in (CODE_COLUMN, *UNIT_COLUMNS) if c in frame.columns] + metadata_columns(frame.schema)
     frame = frame.select(*keep)
     for c in (CODE_COLUMN, *UNIT_COLUMNS):

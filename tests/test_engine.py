@@ -1,12 +1,13 @@
 """Scores with known values, search modes, upserts, the catalog, sources and the stream."""
 
+import base64
 import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from simloom.catalog import Catalog
+from simloom.catalog import Catalog, Conflict
 from simloom.functions import codec
 from simloom.model import Options
 from simloom.operators import match, score, search, upsert
@@ -14,6 +15,7 @@ from simloom.plans import fixtures
 from simloom.sources import assets as asset_sources
 from simloom.sources import tlog
 from simloom.streaming import ingest
+from simloom.streaming.hubs import Poller
 
 
 def per_type(spark, scores):
@@ -238,3 +240,155 @@ def test_fingerprints_ignore_order(spark):
     rows = [(1, A, 0), (1, B, 1), (2, B, 1), (2, A, 0), (3, A, 0)]
     prints = {r.asset_key: r.fingerprint for r in upsert.fingerprint(segments(spark, rows)).collect()}
     assert prints[1] == prints[2] != prints[3]
+
+
+def simprint(data):
+    return base64.urlsafe_b64encode(data).decode().rstrip("=")
+
+
+WITH_SIMPRINTS = "iscc_id string, iscc_code string, units array<string>, metadata string, pos long, simprints array<struct<sp_type:string, simprint:string, offset:long, size:long>>"
+
+
+def test_segments_in_an_index(spark, tmp_path, material):
+    """Stored, replaced by type, searched in both ways, rebuilt and counted."""
+    index = Catalog(spark, f"file://{tmp_path}", Options(buckets=4)).create("segments")
+    a, b, c = simprint(A), simprint(B), simprint(C)
+    first = [(a, 0), (b, 1)], [(a, 0)], [(c, 0)], []
+    entries_ = lambda listed, kind="S": [(m["iscc_id"], m["iscc_code"], m["units"], m["metadata"], i, [(kind, s, o, 1) for s, o in own]) for i, (m, own) in enumerate(zip(material, listed, strict=False))]
+    rows = entries_(first)
+    rows[1][5].append(("T", b, 0, 1))
+    rows[1][5].append(("T", b, 0, 1))  # the same segment twice
+    rows[0][5].append(("T", "!", 0, 1))  # no base64
+    index.upsert(spark.createDataFrame(rows, WITH_SIMPRINTS))
+    stats = index.stats()
+    assert stats["segment_types"] == {"S": 4, "T": 1} and stats["segment_bits"] == {"S": 64, "T": 64}
+    asked = spark.createDataFrame([(1, {"S": [a, b], "T": [b]}), (2, {"S": [c]})], "query_id long, simprints map<string,array<string>>")
+    exact = {(r.query_id, r.iscc_id): r for r in index.search_segments(asked, exact=True).collect()}
+    ids = [m["iscc_id"] for m in material]
+    assert {k: r.score for k, r in exact.items()} == {(1, ids[1]): pytest.approx(1.0), (2, ids[2]): 1.0}  # a type's score of a half is below the threshold
+    found = exact[1, ids[1]]
+    assert set(found.types) == {"T"} and found.types["T"].chunks[0].query == b and found.metadata == material[1]["metadata"] and found.source == json.loads(found.metadata)["source"]
+    near = {(r.query_id, r.iscc_id): r for r in index.search_segments(asked).collect()}
+    assert {(1, ids[0]), (1, ids[1]), (2, ids[2])} <= set(near)
+    assert near[1, ids[1]].types["T"].score == pytest.approx(1.0) and near[1, ids[0]].types["S"].matches == 2
+    # An update replaces the segments of its types and leaves the others; other buckets' files stay.
+    before = index.manifest()
+    index.upsert(spark.createDataFrame([(*entries_([(), [(c, 5)]])[1][:4], 9, [("S", c, 5, 1)])], WITH_SIMPRINTS))
+    after = index.manifest()
+    changed = {(t, k) for t in after["tables"] for k in after["tables"][t] if after["tables"][t][k] != before["tables"][t].get(k)}
+    assert len({k for _, k in changed}) == 1 and after["generation"] == before["generation"] + 1
+    own = sorted((r.sp_type, bytes(r.sp), r.offset) for r in index.segments(spark.createDataFrame([(ids[1],)], "iscc_id string")).collect())
+    assert own == [("S", C, 5), ("T", B, 0)]
+    both = index.search_all(spark.createDataFrame([(1, None, material[1]["iscc_code"], None, {"S": [c]}), (2, ids[1], None, None, {"S": [c]})], "query_id long, iscc_id string, iscc_code string, units array<string>, simprints map<string,array<string>>"), exact=True)
+    assert {r.query_id for r in both.chunk_matches.collect()} == {1} and {(r.query_id, r.iscc_id) for r in both.global_matches.collect()} == {(1, ids[1])}
+    rows = sorted(map(str, index.table("segments").collect()))
+    index.rebuild()
+    assert sorted(map(str, index.table("segments").collect())) == rows and index.check().isEmpty()
+
+
+def test_replays_write_nothing_and_writers_conflict(spark, tmp_path, material):
+    index = Catalog(spark, f"file://{tmp_path}", Options(buckets=4)).create("replays")
+    rows = [(m["iscc_id"], m["iscc_code"], m["units"], m["metadata"], i, [("S", simprint(A), i, 1)]) for i, m in enumerate(material)]
+    frame = spark.createDataFrame(rows, WITH_SIMPRINTS)
+    index.upsert(frame)
+    listed = sorted(str(p) for p in tmp_path.rglob("*"))
+    times = [p.stat().st_mtime_ns for p in sorted(tmp_path.rglob("*")) if p.is_file()]
+    again = index.upsert(frame.orderBy(F.desc("pos")).withColumn("pos", 10 - F.col("pos")))
+    assert {r.status for r in again.collect()} == {"updated"}
+    assert sorted(str(p) for p in tmp_path.rglob("*")) == listed and [p.stat().st_mtime_ns for p in sorted(tmp_path.rglob("*")) if p.is_file()] == times
+    # Two writers that read one state: the second is told, and its files go.
+    state = index.manifest()
+    index.manifest = lambda: state
+    index.upsert(spark.createDataFrame([(*rows[0][:3], "{}", 0, None)], WITH_SIMPRINTS))
+    with pytest.raises(Conflict):
+        index.upsert(spark.createDataFrame([(*rows[1][:3], "{}", 0, None)], WITH_SIMPRINTS))
+    del index.manifest
+    assert index.manifest()["generation"] == 2 and index.table("segments").count() == 4
+    named = {f.split("/")[0] for m in (index.manifest(), state) for t in m["tables"].values() for f in t.values()}
+    assert {p.name for p in (tmp_path / "replays").iterdir() if p.is_dir()} == named
+
+
+def test_load_in_batches(spark, tmp_path, material):
+    """Batches in order; a batch that fails is reported and the others are written."""
+    index = Catalog(spark, f"file://{tmp_path}").create("load")
+    rows = [(m["iscc_id"], m["iscc_code"], m["units"], m["metadata"], i) for i, m in enumerate(material)] + [("broken", None, None, None, 4)]
+    statuses, errors = index.load(entries(spark, rows), batch_rows=1)
+    assert sorted(r.pos for r in statuses.collect()) == [0, 1, 2, 3] and len(errors) == 1 and "invalid id" in errors[0]
+    statuses, errors = index.load(entries(spark, rows[:4]))
+    assert sorted(r.status for r in statuses.collect()) == ["updated"] * 4 and not errors
+
+
+def test_asset_files_into_an_index(spark, tmp_path, material):
+    """From files to chunk matches, with the source that the files name."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i, m in enumerate(material[:2]):
+        feature = {"maintype": "content", "subtype": "text", "version": 0, "simprints": [simprint(A), simprint(bytes([i] * 8))], "offsets": [0, 4], "sizes": [4, 4]}
+        (folder / f"{i}.iscc.json").write_text(json.dumps({"iscc_id": m["iscc_id"], "iscc_code": m["iscc_code"], "units": m["units"], "name": f"n{i}", "features": [feature]}))
+    found, _ = asset_sources.entries_of_files(asset_sources.asset_files(spark, f"file://{folder}"))
+    index = Catalog(spark, f"file://{tmp_path}/index").create("files")
+    statuses, errors = index.load(asset_sources.numbered(found))
+    assert not errors and statuses.count() == 2
+    rows = index.search_segments(spark.createDataFrame([(1, {"CONTENT_TEXT_V0": [simprint(A)]})], "query_id long, simprints map<string,array<string>>"), exact=True).collect()
+    assert {r.source.rsplit("/", 1)[1] for r in rows} == {"0.utf8", "1.utf8"} and {json.loads(r.metadata)["name"] for r in rows} == {"n0", "n1"}
+
+
+def test_dataset_splits(spark, tmp_path, sf_dir):
+    for split in ("train", "test"):
+        spark.range(3).selectExpr("'ISCC:X' as iscc", "id").write.parquet(f"file://{tmp_path}/data/{split}-00")
+    assert asset_sources.dataset_rows(spark, f"file://{tmp_path}/data", split="TRAIN").count() == 3
+    with pytest.raises(FileNotFoundError):
+        asset_sources.dataset_rows(spark, f"file://{tmp_path}/data", split="dev")
+
+
+def write_log(folder, records, size=None, broken=()):
+    """A hub's log of records, as far as size."""
+    size = len(records) if size is None else size
+    (folder / "log").mkdir(parents=True, exist_ok=True)
+    (folder / "log" / "checkpoint").write_text(f"hub\n{size}\nroot\n")
+    for bundle in range(0, -(-size // tlog.WIDTH)):
+        own = records[bundle * tlog.WIDTH : min(size, (bundle + 1) * tlog.WIDTH)]
+        at = folder / "log" / "tile" / "entries" / (f"{bundle:03d}" + (f".p/{len(own)}" if len(own) < tlog.WIDTH else ""))
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(tlog.frame_records(own)[: -1 if bundle in broken else None])
+
+
+def test_poller(spark, sf_dir, tmp_path):
+    """Partial bundles, a broken one, a tree that shrinks, hubs that go, and a restart."""
+    rows = fixtures.log_records(spark, sf_dir).orderBy("leaf_index").collect()
+    logs = {h: [bytes(r.record) for r in rows if r.hub_id == h] for h in (0, 1)}
+    logs[1] = logs[1] + logs[1][:100]
+    hub_list = tmp_path / "hubs.json"
+    listing = {"version": 1, "network": "testnet", "hubs": [{"hub_id": h, "url": f"file://{tmp_path}/hub{h}/", "active": True} for h in logs]}
+    hub_list.write_text(json.dumps(listing))
+    write_log(tmp_path / "hub0", logs[0], 300)
+    write_log(tmp_path / "hub1", logs[1], broken=(1,))
+    index = Catalog(spark, f"file://{tmp_path}/index").create("idptest")
+    poller = Poller(spark, index, f"file://{hub_list}", "testnet", f"file://{tmp_path}/state")
+    assert poller.refresh()
+    first = {s["hub_id"]: s for s in poller.poll()}
+    assert first[0]["cursor"] == 300 and first[0]["ok"] and sum(first[0]["counts"].values()) == 300
+    assert first[1]["cursor"] == 256 and not first[1]["ok"] and first[1]["error"] == "poll failed" and sum(first[1]["counts"].values()) == 256
+    write_log(tmp_path / "hub0", logs[0])
+    write_log(tmp_path / "hub1", logs[1])
+    again = Poller(spark, index, f"file://{hub_list}", "testnet", f"file://{tmp_path}/state")
+    assert again.refresh()
+    second = {s["hub_id"]: s for s in again.poll()}
+    assert all(second[h]["cursor"] == len(logs[h]) and second[h]["ok"] and sum(second[h]["counts"].values()) == len(logs[h]) for h in logs)
+    whole = Catalog(spark, f"file://{tmp_path}/index").create("whole")
+    log = spark.createDataFrame([(h, i, bytearray(r)) for h, own in logs.items() for i, r in enumerate(own)], "hub_id long, leaf_index long, record binary")
+    whole.upsert(ingest.classify(log, "testnet").filter("reason = 'ok'").select("iscc_id", "iscc_code", "units", "metadata", F.struct("leaf_index", "hub_id").alias("pos")))
+    assert {r.iscc_id for r in index.table("assets").collect()} == {r.iscc_id for r in whole.table("assets").collect()}
+    # A shrunken tree is read from the start at the next poll.
+    write_log(tmp_path / "hub0", logs[0], 10)
+    assert [s["cursor"] for s in again.poll()] == [0, len(logs[1])]
+    generation = index.manifest()["generation"]
+    assert [s["cursor"] for s in again.poll()] == [10, len(logs[1])] and index.manifest()["generation"] >= generation
+    # An empty or unreadable list changes nothing; a hub that goes is forgotten; one without a checkpoint is noted.
+    hub_list.write_text(json.dumps(listing | {"hubs": []}))
+    assert not again.refresh() and set(again.statuses) == {0, 1}
+    hub_list.write_text(json.dumps(listing | {"hubs": [listing["hubs"][1], {"hub_id": 7, "url": f"file://{tmp_path}/none", "active": True}]}))
+    assert again.refresh() and set(again.statuses) == {1}
+    assert {s["hub_id"]: s["ok"] for s in again.poll()} == {1: True, 7: False}
+    rounds = iter([False, False, True])
+    again.run(lambda: next(rounds), lambda _: None)
