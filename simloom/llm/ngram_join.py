@@ -363,18 +363,18 @@ def _cluster_groups(stars: DataFrame, seed: int, several: bool) -> DataFrame:
     return leaders.unionByName(dealt.select("g", F.lit(2).alias("side"), F.col("b").alias("id"), F.col("b").alias("c")))
 
 
-def _close(n: str, m: str, percent: int):
+def close(n: str, m: str, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def _star_pairs(posts: DataFrame, percent: int) -> DataFrame:
+def star_pairs(posts: DataFrame, percent: int) -> DataFrame:
     """(a, b): each node b with the leader a of most of its groups."""
-    led = posts.filter((F.col("id") != F.col("lead_id")) & _close("n", "lead_n", percent)).groupBy("id", "lead_id").agg(F.count("*").alias("times"))
+    led = posts.filter((F.col("id") != F.col("lead_id")) & close("n", "lead_n", percent)).groupBy("id", "lead_id").agg(F.count("*").alias("times"))
     best = led.groupBy("id").agg(F.max(F.struct(F.col("times"), -F.col("lead_id"))).alias("best"))
     return best.select((-F.col("best.col2")).alias("a"), F.col("id").alias("b"))
 
 
-def _need(n, m, percent: int):
+def need(n, m, percent: int):
     return F.ceil((n + m) * percent / (100 + percent))
 
 
@@ -390,7 +390,7 @@ def _likely(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     a_first = F.struct("a_last_f", "a_last_t") <= F.struct("b_last_f", "b_last_t")
     # The set whose prefix ends first meets the other one's prefix only up to there.
     rest = F.ceil(F.when(a_first, F.col("a_n")).otherwise(F.col("b_n")) * percent / 100) - 1
-    return met.filter(F.col("a_mixed") | F.col("b_mixed") | (common + rest >= _need(F.col("a_n"), F.col("b_n"), percent))).select("a", "b")
+    return met.filter(F.col("a_mixed") | F.col("b_mixed") | (common + rest >= need(F.col("a_n"), F.col("b_n"), percent))).select("a", "b")
 
 
 def _residual(posts: DataFrame, comps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -412,9 +412,9 @@ def _residual(posts: DataFrame, comps: DataFrame, percent: int) -> tuple[DataFra
     stats = materialise(stats, "open-stats")
     rows = rows.join(stats.select("token", "big", "few"), "token")
     small = rows.filter("few").select("token", "id", "n", "at", "early", "c", "big")
-    first = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at")) >= _need(F.col("l.n"), F.col("r.n"), percent)
+    first = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at")) >= need(F.col("l.n"), F.col("r.n"), percent)
     order = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.id") < F.col("r.id")))
-    on = (F.col("l.token") == F.col("r.token")) & (F.col("l.c") != F.col("r.c")) & order & _close("l.n", "r.n", percent) & first
+    on = (F.col("l.token") == F.col("r.token")) & (F.col("l.c") != F.col("r.c")) & order & close("l.n", "r.n", percent) & first
     # Rows of a group's largest component look at the others only.
     minor = small.filter("early and c <> big").alias("l").join(small.alias("r"), on)
     major = small.filter("early and c = big").alias("l").join(small.filter("c <> big").alias("r"), on)
@@ -425,8 +425,7 @@ def _residual(posts: DataFrame, comps: DataFrame, percent: int) -> tuple[DataFra
 def _hot_parts(items: DataFrame, percent: int, frequent: int, most: int) -> DataFrame:
     """items (id, c, n, set) with len, prefix (its rare shingles) and, where the prefix goes on among frequent ones, hot.
 
-    hot are all frequent shingles of the set, ordered by value, hot_prefix those of them that the prefix has, d1 and d2
-    their digests. Shingles are counted among the items, all of them; at most `most` are known as frequent.
+    hot are all frequent shingles of the set, ordered by value, hot_prefix those of them that the prefix has. Shingles are counted among the items, all of them; at most `most` are known as frequent.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,24 +437,23 @@ def _hot_parts(items: DataFrame, percent: int, frequent: int, most: int) -> Data
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = common.value
         for batch in batches:
-            out = {c: [] for c in ("len", "prefix", "hot", "hot_prefix", "d1", "d2")}
+            out = {c: [] for c in ("len", "prefix", "hot", "hot_prefix")}
             for n, own in zip(batch.column(2).to_pylist(), _arrays(batch.column(3)), strict=True):
                 cold, late, often = split_by(own, tokens, counts)
                 p = len(own) - -(-n * percent // 100) + 1
                 hot = len(cold) < p
-                d1, d2 = digests(late) if hot else (None, None)
                 order = np.lexsort((late, often))[: p - len(cold)] if hot else []
-                row = (len(own), cold[: max(p, 0)], late if hot else late[:0], late[order] if hot else late[:0], d1, d2)
+                row = (len(own), cold[: max(p, 0)], late if hot else late[:0], late[order] if hot else late[:0])
                 for column, value in zip(out.values(), row, strict=True):
                     column.append(value)
-            made = [lists(v) if c in ("prefix", "hot", "hot_prefix") else pa.array(v, pa.int64()) for c, v in out.items()]
+            made = [pa.array(v, pa.int64()) if c == "len" else lists(v) for c, v in out.items()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *made], ["id", "c", "n", *out])
 
-    schema = "id long, c long, n long, len long, prefix array<long>, hot array<long>, hot_prefix array<long>, d1 long, d2 long"
+    schema = "id long, c long, n long, len long, prefix array<long>, hot array<long>, hot_prefix array<long>"
     return materialise(items.select("id", "c", "n", "set").mapInArrow(split, schema), "hot-parts")
 
 
-def _apart(a: str, b: str):
+def apart(a: str, b: str):
     """Whether two components may differ; null is not one component."""
     return F.coalesce(F.col(a) != F.col(b), F.lit(True))
 
@@ -467,8 +465,8 @@ def _rare_pairs(parts: DataFrame, percent: int) -> DataFrame:
     several = (F.min("c").over(every) != F.max("c").over(every)) | ((F.count("*").over(every) > 1) & (F.count("c").over(every) < F.count("*").over(every)))
     posts = materialise(posts.withColumn("several", several).filter("several").drop("several"), "hot-rare")
     order = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.id") < F.col("r.id")))
-    first = F.least(F.col("l.len") - F.col("l.at"), F.col("r.len") - F.col("r.at")) >= _need(F.col("l.n"), F.col("r.n"), percent)
-    on = (F.col("l.token") == F.col("r.token")) & _apart("l.c", "r.c") & order & _close("l.n", "r.n", percent) & first
+    first = F.least(F.col("l.len") - F.col("l.at"), F.col("r.len") - F.col("r.at")) >= need(F.col("l.n"), F.col("r.n"), percent)
+    on = (F.col("l.token") == F.col("r.token")) & apart("l.c", "r.c") & order & close("l.n", "r.n", percent) & first
     return posts.alias("l").join(posts.alias("r"), on).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
@@ -501,6 +499,39 @@ def _block_groups(classes: DataFrame, percent: int) -> DataFrame:
     return one.unionByName(other).select("g", F.lit(2).alias("side"), "id", "c")
 
 
+def classes_of(parts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(members (class, id, rep, within), classes (class, rep, c, n, set, hot_prefix, members)) of parts that agree in n and hot.
+
+    c is null where members are of several components; within tells whether what members share makes them partners.
+    """
+    members = parts.filter("size(hot) > 0").select(F.xxhash64("n", "hot").alias("class"), "id", "c", "n", "hot", "hot_prefix")
+    classes = members.groupBy("class").agg(
+        F.min("id").alias("rep"),
+        F.when((F.min("c") == F.max("c")) & (F.count("c") == F.count("*")), F.min("c")).alias("c"),
+        F.first("n").alias("n"),
+        F.first("hot").alias("set"),
+        F.first("hot_prefix").alias("hot_prefix"),
+        F.count("*").alias("members"),
+    )
+    classes = materialise(classes, "hot-classes")
+    within = (F.col("members") > 1) & (F.size("set") >= need(F.col("n"), F.col("n"), percent))
+    return members.select("class", "id").join(classes.select("class", "rep", within.alias("within")), "class"), classes
+
+
+def unwound(levels: list[tuple[DataFrame, DataFrame]], links: DataFrame | None) -> DataFrame:
+    """Links (a, b) of the first level's items, from (links of its own, members of its classes) of each level and the last one's links."""
+    for own, members in reversed(levels):
+        up = members.filter("within").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+        if links is not None:
+            touched = materialise(links.select(F.col("a").alias("class")).union(links.select(F.col("b").alias("class"))).distinct(), "touched")
+            up = members.join(bounded(touched), "class", "left_semi").select(F.col("rep").alias("a"), F.col("id").alias("b")).unionByName(up)
+            reps = members.select("class", "rep").distinct()
+            met = links.join(reps.select(F.col("class").alias("a"), F.col("rep").alias("rep_a")), "a").join(reps.select(F.col("class").alias("b"), F.col("rep").alias("rep_b")), "b")
+            up = up.unionByName(met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+        links = materialise(own.unionByName(up).filter("a <> b"), "level-links")
+    return links
+
+
 def _hot_links(items: DataFrame, percent: int, frequent: int, most: int) -> DataFrame:
     """Links (a, b) that put together all partners across components among items (id, c, n, set), a stored table.
 
@@ -513,34 +544,14 @@ def _hot_links(items: DataFrame, percent: int, frequent: int, most: int) -> Data
         parts = _hot_parts(items, percent, frequent, most)
         pairs = _rare_pairs(parts, percent)
         links = materialise(_compare(materialise(_probe_groups(pairs), "hot-groups"), items.select("id", "n", "set"), percent), "hot-links")
-        key = F.xxhash64("n", "d1", "d2", F.size("hot"))
-        members = parts.filter("size(hot) > 0").select(key.alias("class"), "id", "c", "n", "hot", "hot_prefix")
-        classes = members.groupBy("class").agg(
-            F.min("id").alias("rep"),
-            F.when((F.min("c") == F.max("c")) & (F.count("c") == F.count("*")), F.min("c")).alias("c"),
-            F.first("n").alias("n"),
-            F.first("hot").alias("set"),
-            F.first("hot_prefix").alias("hot_prefix"),
-            F.count("*").alias("members"),
-        )
-        classes = materialise(classes, "hot-classes")
-        within = (F.col("members") > 1) & (F.size("set") >= _need(F.col("n"), F.col("n"), percent))
-        levels.append((links, members.select("class", "id").join(classes.select("class", "rep", within.alias("within")), "class")))
+        members, classes = classes_of(parts, percent)
+        levels.append((links, members))
         items = classes.select(F.col("class").alias("id"), "c", "n", "set", "hot_prefix")
         n, stood_for = (classes.agg(F.count("*"), F.coalesce(F.sum("members"), F.lit(0))).first())
-        if n <= 1 or n > FEWER * stood_for:
+        if n <= 1 or n > FEWER * stood_for or n == stood_for:
             break
     links = materialise(_compare(materialise(_block_groups(items, percent), "block-groups"), items.select("id", "n", "set"), percent), "hot-links") if n > 1 else None
-    for own, members in reversed(levels):
-        up = members.filter("within").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-        if links is not None:
-            touched = materialise(links.select(F.col("a").alias("class")).union(links.select(F.col("b").alias("class"))).distinct(), "touched")
-            up = members.join(bounded(touched), "class", "left_semi").select(F.col("rep").alias("a"), F.col("id").alias("b")).unionByName(up)
-            reps = members.select("class", "rep").distinct()
-            met = links.join(reps.select(F.col("class").alias("a"), F.col("rep").alias("rep_a")), "a").join(reps.select(F.col("class").alias("b"), F.col("rep").alias("rep_b")), "b")
-            up = up.unionByName(met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
-        links = materialise(own.unionByName(up).filter("a <> b"), "level-links")
-    return links
+    return unwound(levels, links)
 
 
 def jaccard_components(
@@ -587,12 +598,12 @@ def _components_of(texts: DataFrame, k: int, percent: int, frequent: int, most_f
     posts = named.join(nodes, "id", "left_semi").select("id", "n", "last_f", F.element_at("prefix", -1).alias("last_t"), F.posexplode("prefix").alias("at", "token"))
     group = Window.partitionBy("token")
     posts = posts.withColumn("members", F.count("*").over(group)).withColumn("lead", F.min(F.struct("id", "n")).over(group)).filter("members > 1")
-    early = F.col("n") - F.col("at") >= _need(F.col("n"), F.col("n"), percent)
+    early = F.col("n") - F.col("at") >= need(F.col("n"), F.col("n"), percent)
     posts = posts.withColumn("early", early).withColumn("has_early", F.max("early").over(group))
     posts = materialise(posts.select("token", "id", "n", "at", "early", "has_early", "last_f", "last_t", F.col("lead.id").alias("lead_id"), F.col("lead.n").alias("lead_n")), "shared-prefixes")
     shared = posts.groupBy("id").agg(F.max("n").alias("n"), F.max("last_f").alias("last_f"), F.max("last_t").alias("last_t"), F.collect_set("token").alias("tokens"), (F.countDistinct("n", "last_f", "last_t") > 1).alias("mixed"))
     shared = materialise(shared, "shared-by-node")
-    stars = materialise(_likely(_star_pairs(posts, percent), shared, percent), "stars")
+    stars = materialise(_likely(star_pairs(posts, percent), shared, percent), "stars")
     links = materialise(_compare_texts(_cluster_groups(stars, 1, False), texts, k, percent), "star-links")
     again = _compare_texts(_cluster_groups(stars, 2, True), texts, k, percent)
     comps = components(links.unionByName(materialise(again, "star-links")))

@@ -168,6 +168,35 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spotsigs_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' fingerprints joined: the class of each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", spotsigs.signatures(F.col("text")).alias("sigs"))
+    return spotsigs.near_duplicates(docs)
+
+
+def _spots_sql() -> str:
+    anchors = "[" + ", ".join(f"'{w}'" for w in sorted(set(spotsigs.ANCHORS.split()))) + "]"
+    chain = f"list_slice(list_filter(list_slice(w, i + 1, i + {spotsigs.REACH}), lambda x: not list_contains({anchors}, x)), 1, {spotsigs.CHAIN})"
+    return rf"""
+with recursive d as (select doc_id, coalesce(text, '') as text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: x <> '') as w from documents),
+sp as (select doc_id, w[i] || '|' || array_to_string({chain}, '|') as g from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d) where list_contains({anchors}, w[i])),
+s as (select distinct doc_id, g from sp union all
+  select doc_id, case when len(w) > 0 then 'words ' || array_to_string(w, ' ') else 'text ' || text end from d where text <> '' and doc_id not in (select doc_id from sp)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+f as (select doc_id, md5(string_agg(g, chr(10) order by g)) as f from s group by doc_id),
+c as (select f, min(doc_id) as c from f group by f),
+m as (select doc_id, c from f join c using (f)),
+k as (select doc_id, g from s where doc_id in (select c from c)),
+x as (select doc_id, g from k where g in (select g from k group by g having count(*) > 1)),
+i as (select a.doc_id as a, b.doc_id as b, count(*) as k from x a join x b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from i join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= 75 * (na.n + nb.n - k)),
+e as (select a, b from l union all select b, a from l),
+reach(id, r) as (select c, c from c union select reach.id, e.b from reach join e on reach.r = e.a)
+select d.doc_id, coalesce(n, 0)::bigint as n_signatures, coalesce(r.r, (select min(doc_id) from d where text = '')) as class_id
+from d left join n using (doc_id) left join m using (doc_id) left join (select id, min(r) as r from reach group by id) r on r.id = m.c
+"""
+
+
 QUERIES = {
     "op1_decontaminate": (op1_decontaminate, OP1_SQL),
     "op2_secret_scan": (op2_secret_scan, None),
@@ -179,6 +208,7 @@ QUERIES = {
     "op8_token_counts": (op8_token_counts, None),
     "op9_pii": (op9_pii, None),
     "op10_spotsigs": (op10_spotsigs, None),
+    "spotsigs_near_duplicates": (spotsigs_near_duplicates, _spots_sql()),
 }
 
 

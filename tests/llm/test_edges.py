@@ -502,15 +502,45 @@ def test_spot_signature_edges(spark, odd, none):
     assert following == {37 * i: str((i + 1) % 1000) for i in range(1000)}
 
 
-def test_spot_near_duplicates(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+@pytest.mark.parametrize("threshold, frequent, fewer, broadcast_rows", [(0.75, 40, 0.5, 10**6), (0.6, 3, 0.5, 10**6), (0.75, 1, 1.0, 0), (0.75, 2, 0.0, 10**6)])
+def test_spot_near_duplicates(spark, sf_dir, monkeypatch, threshold, frequent, fewer, broadcast_rows):
+    monkeypatch.setattr(spotsigs, "FEWER", fewer)
+    monkeypatch.setattr("simloom.llm.common.BROADCAST_ROWS", broadcast_rows)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    random.seed(12)
+    made = []
+    for i in range(80):  # a template, of which other parts are changed
+        words = [f"the word{j} item{j % 9}" for j in range(24)]
+        for j in random.sample(range(24), i % 4):
+            words[j] = f"the own{i} thing{j}"
+        made.append((100_000 + i, " ".join(words)))
+    made += [(None, made[0][1]), (100_000, "quite another text of the same id"), (7, None), (8, ""), (-1, "")]
+    docs = docs.unionByName(spark.createDataFrame(made, "doc_id long, text string"))
     prints = docs.select("doc_id", spotsigs.signatures(F.col("text")).alias("sigs"))
-    members, pairs = spotsigs.near_duplicates(prints, threshold=0.6)
-    sigs = {r.doc_id: frozenset(r.sigs) for r in prints.collect()}
-    named = {}
-    for doc in sorted(sigs):
-        named.setdefault(sigs[doc], doc)
-    assert {r.doc_id: r.class_id for r in members.collect()} == {d: named[s] for d, s in sigs.items()}
-    classes = sorted(named.items(), key=lambda x: x[1])
-    want = {(a, b) for i, (s, a) in enumerate(classes) for t, b in classes[i + 1 :] if s and t and len(s & t) >= 0.6 * len(s | t)}
-    assert {(r.a, r.b) for r in pairs.collect()} == want
+    rows = [(r.doc_id, frozenset(r.sigs)) for r in prints.collect()]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    nodes = sorted({s for d, s in rows if d is not None}, key=sorted)
+    for i, s in enumerate(nodes):
+        for t in nodes[i + 1 :]:
+            if s and t and len(s & t) >= threshold * len(s | t):
+                parent[root(s)] = root(t)
+    least = {}
+    for d, s in rows:
+        if d is not None:
+            least[root(s)] = min(least.get(root(s), d), d)
+    want = sorted((str(d), len(s), None if d is None else least[root(s)]) for d, s in rows)
+    got = spotsigs.near_duplicates(prints, threshold=threshold, frequent=frequent).collect()
+    assert sorted((str(r.doc_id), r.n_signatures, r.class_id) for r in got) == want
+    assert len(least) < len(nodes)
+
+
+def test_spot_near_duplicates_edges(spark, odd, none):
+    prints = odd.select("doc_id", spotsigs.signatures(F.col("text")).alias("sigs"))
+    assert spotsigs.near_duplicates(prints).count() == 9
+    assert spotsigs.near_duplicates(none.select("doc_id", spotsigs.signatures(F.col("text")).alias("sigs"))).count() == 0
