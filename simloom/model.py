@@ -19,6 +19,7 @@ ASSET_FILE = (
 )
 
 MODES = ("exact", "prefix", "similarity")
+NEAREST = ("exact", "banded")
 
 
 @dataclass(frozen=True)
@@ -26,6 +27,8 @@ class Options:
     """The default thresholds and factors."""
 
     mode: str = "similarity"
+    #: How nearest codes and segments are looked for.
+    nearest: str = "exact"
     threshold_units: float = 0.75
     threshold_simprints: float = 0.75
     exponent: int = 4
@@ -45,6 +48,8 @@ class Options:
     def __post_init__(self):
         if self.mode not in MODES:
             raise ValueError(f"mode must be one of {MODES}")
+        if self.nearest not in NEAREST:
+            raise ValueError(f"nearest must be one of {NEAREST}")
         for name in ("threshold_units", "threshold_simprints"):
             if not 0 <= getattr(self, name) <= 1:
                 raise ValueError(f"{name} must lie in [0, 1]")

@@ -13,7 +13,9 @@ Frames:
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,42 +112,94 @@ def nphd_score(nbits: Column, q_nbits: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - distance / shared)
 
 
-def nphd_nearest(units: DataFrame, queries: DataFrame, limit: int = 100, block: int = 10_000) -> DataFrame:
-    """(query_id, unit_pos, unit_type, asset_key, score, rank): the nearest stored codes of the same type.
+@dataclass(frozen=True)
+class Bands:
+    """Where the bands of a code's first word start, their bits, and how many of these may differ."""
+
+    starts: tuple[int, ...]
+    bits: int
+    radius: int
+
+    def masks(self) -> list[int]:
+        """Every value of a band with at most radius bits set."""
+        return [sum(1 << i for i in chosen) for n in range(self.radius + 1) for chosen in combinations(range(self.bits), n)]
+
+    def value(self, word: Column, start: int) -> Column:
+        return F.shiftrightunsigned(word, 64 - self.bits - start).bitwiseAND(F.lit((1 << self.bits) - 1))
+
+
+#: Codes of 64 bits or more: any two that differ in 14 of the first 60 bits at most meet, by five bands.
+LONG = Bands((0, 12, 24, 36, 48), 12, 2)
+#: Pairs with a code of 32 bits: any two that differ in 7 bits at most meet.
+SHORT = Bands((0, 10, 20), 12, 3)
+#: Rows of queries' probes that are broadcast at once.
+PROBES = 500_000
 
-    Exact; equals are ordered by key. The rank filter is pushed below the shuffle, so each task
-    sends `limit` rows a query at most.
+
+def banded_join(kept: DataFrame, part: DataFrame, on: Column, bands: Bands) -> DataFrame:
+    """Pairs of kept (…, w0) and part (…, q_w0) that satisfy `on` and agree in a band but for radius bits.
+
+    An equi-join on (band, value): part's rows are probed with every value near theirs, so kept is read
+    once and not moved if part is broadcast. A pair that meets in several bands is taken in the first one.
     """
-    kept = units.filter(~F.col("unit_type").startswith("INSTANCE_"))
+    numbered = [F.struct(F.lit(i).alias("band"), bands.value(F.col("w0"), s).alias("value")) for i, s in enumerate(bands.starts)]
+    probes = F.transform(F.array(*map(F.lit, bands.masks())), lambda m: m.cast("long"))
+    asked = [F.struct(F.lit(i).alias("q_band"), bands.value(F.col("q_w0"), s).alias("q_value")) for i, s in enumerate(bands.starts)]
+    part = part.withColumn("at_", F.explode(F.array(*asked))).withColumn("probe_", F.explode(probes))
+    part = F.broadcast(part.select("*", F.col("at_.q_band").alias("q_band"), F.col("at_.q_value").bitwiseXOR(F.col("probe_")).alias("q_value")).drop("at_", "probe_"))
+    rows = kept.withColumn("at_", F.explode(F.array(*numbered))).select("*", "at_.band", "at_.value").drop("at_")
+    apart = [F.bit_count(bands.value(F.col("w0"), s).bitwiseXOR(bands.value(F.col("q_w0"), s))) > bands.radius for s in bands.starts]
+    first = reduce(Column.__and__, [(F.col("band") <= i) | far for i, far in enumerate(apart)])
+    return rows.join(part, (F.col("band") == F.col("q_band")) & (F.col("value") == F.col("q_value")) & on & first).drop("band", "value", "q_band", "q_value")
 
-    def match(part: DataFrame) -> DataFrame:
-        met = kept.join(part, kept["unit_type"] == F.col("q_type"))
-        return met.select("query_id", "unit_pos", "unit_type", "asset_key", nphd_score(F.col("nbits"), F.col("q_nbits")).alias("score"))
 
-    near = in_blocks(_asked(queries), ("query_id", "unit_pos"), block, match)
+def _banded(kept: DataFrame, queries: DataFrame, keys: tuple[str, ...], on: Column, short: Column, block: int) -> DataFrame:
+    """Pairs that meet by LONG, and by SHORT where one of the two is short; short is over both sides' columns."""
+
+    def match(bands: Bands, which: Column) -> DataFrame:
+        rows = max(1, min(block, PROBES // (len(bands.starts) * len(bands.masks()))))
+        return in_blocks(queries, keys, rows, lambda part: banded_join(kept, part, on & which, bands))
+
+    return match(LONG, ~short).unionByName(match(SHORT, short))
+
+
+def nphd_nearest(units: DataFrame, queries: DataFrame, limit: int = 100, block: int = 10_000, nearest: str = "exact") -> DataFrame:
+    """(query_id, unit_pos, unit_type, asset_key, score, rank): the nearest stored codes of the same type.
+
+    exact compares every query with every stored code of its type; banded those that agree in a band of
+    their first word but for a few bits, which all codes near enough do (see LONG and SHORT) and most of
+    those somewhat farther. Equals are ordered by key. The rank filter is pushed below the shuffle, so
+    each task sends `limit` rows a query at most.
+    """
+    kept = units.filter(~F.col("unit_type").startswith("INSTANCE_"))
+    same = F.col("unit_type") == F.col("q_type")
+    if nearest == "banded":
+        met = _banded(kept, _asked(queries), ("query_id", "unit_pos"), same, F.least("nbits", "q_nbits") < 64, block)
+    else:
+        met = in_blocks(_asked(queries), ("query_id", "unit_pos"), block, lambda part: kept.join(part, same))
+    near = met.select("query_id", "unit_pos", "unit_type", "asset_key", nphd_score(F.col("nbits"), F.col("q_nbits")).alias("score"))
     order = Window.partitionBy("query_id", "unit_type", "unit_pos").orderBy(F.desc("score"), unsigned_order(F.col("asset_key")))
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
-def segment_nearest(segments: DataFrame, queries: DataFrame, limit: int = 100, oversampling: int = 20, block: int = 10_000) -> DataFrame:
+def segment_nearest(segments: DataFrame, queries: DataFrame, limit: int = 100, oversampling: int = 20, block: int = 10_000, nearest: str = "exact") -> DataFrame:
     """(query_id, sp_type, sp_pos, q_sp, asset_key, sp, offset, size, score, rank): nearest segments by Hamming distance.
 
     One segment a place is looked at: at the same (asset, offset, size) the first in byte order, which an
-    index marks when segments are stored (lead).
-    `limit * 2 * oversampling` segments a query segment are kept, as the search of assets needs more
-    segments than assets.
+    index marks when segments are stored (lead). `limit * 2 * oversampling` segments a query segment are
+    kept, as the search of assets needs more segments than assets. nearest is as for nphd_nearest.
     """
     kept = (segments if "lead" in segments.columns else with_leads(segments)).filter("lead")
     asked = queries.select("query_id", F.col("sp_type").alias("q_type"), "sp_pos", F.col("sp").alias("q_sp"))
     asked = asked.select("*", *(w.alias(f"q_{n}") for n, w in zip(WORDS, words(F.col("q_sp")), strict=True)))
     bits = F.octet_length("sp") * 8
     score = 1 - hamming([F.col(w) for w in WORDS], [F.col(f"q_{w}") for w in WORDS]) / bits
-
-    def match(part: DataFrame) -> DataFrame:
-        met = kept.join(part, (kept["sp_type"] == F.col("q_type")) & (F.octet_length("sp") == F.octet_length("q_sp")))
-        return met.select("query_id", "sp_type", "sp_pos", "q_sp", "asset_key", "sp", "offset", "size", score.alias("score"))
-
-    near = in_blocks(asked, ("query_id", "sp_pos"), block, match)
+    same = (F.col("sp_type") == F.col("q_type")) & (F.octet_length("sp") == F.octet_length("q_sp"))
+    if nearest == "banded":
+        met = _banded(kept, asked, ("query_id", "sp_pos"), same, F.octet_length("sp") < 8, block)
+    else:
+        met = in_blocks(asked, ("query_id", "sp_pos"), block, lambda part: kept.join(part, same))
+    near = met.select("query_id", "sp_type", "sp_pos", "q_sp", "asset_key", "sp", "offset", "size", score.alias("score"))
     order = Window.partitionBy("query_id", "sp_type", "sp_pos").orderBy(F.desc("score"), unsigned_order(F.col("asset_key")), "offset", "size")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(1, limit * 2 * oversampling))
 

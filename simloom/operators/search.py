@@ -114,7 +114,7 @@ def search_similarity(units: DataFrame, query_units: DataFrame, own: DataFrame |
     """
     columns = ("query_id", "asset_key", "unit_type", "score")
     instance = match.prefix_join_binary(units, query_units.filter(F.col("unit_type").startswith("INSTANCE_")), options.query_block)
-    near = match.nphd_nearest(units, query_units.filter(~F.col("unit_type").startswith("INSTANCE_")), options.limit, options.query_block)
+    near = match.nphd_nearest(units, query_units.filter(~F.col("unit_type").startswith("INSTANCE_")), options.limit, options.query_block, options.nearest)
     found = score.confidence(score.best_per_type(instance.select(*columns).unionByName(near.select(*columns))), options.threshold_units, options.exponent)
     return score.top_k(score.without_self(found, own) if own is not None else found, options.limit)
 
@@ -128,7 +128,7 @@ def search_segments(segments: DataFrame, queries: DataFrame, total_assets: int,
     if exact:
         per = score.coverage_quality(match.segment_exact(segments, queries, options.dup_limit, options.query_block), queries, options.threshold_simprints)
     else:
-        near = stored(match.segment_nearest(segments, queries, options.limit, options.oversampling, options.query_block), "near-segments")
+        near = stored(match.segment_nearest(segments, queries, options.limit, options.oversampling, options.query_block, options.nearest), "near-segments")
         # Frequencies of the segments that were asked for or met only.
         met = near.select("sp_type", "sp").union(queries.select("sp_type", "sp")).distinct()
         freqs = score.document_frequency(segments.join(met, ["sp_type", "sp"], "left_semi"), options.dup_limit)

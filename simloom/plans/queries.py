@@ -211,6 +211,13 @@ def e4_nphd_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "asset_key", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("e4_nphd_banded", f"{WITH_UNITS}, {NEAR_SQL} select q as query_id, k as asset_key, round(s, 9) as score, r as rank from near where s >= 0.79 and r <= 20")
+def e4_nphd_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest codes through bands, as far as these find all of them."""
+    found = match.nphd_nearest(fx.content_units(spark, sf_dir), fx.query_units(spark, sf_dir), 20, nearest="banded").filter("score >= 0.79")
+    return found.select("query_id", "asset_key", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("e3_instance_prefix", f"{WITH_UNITS}, {NEAR_SQL} select q as query_id, k as asset_key, s as score from inst")
 def e3_instance_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.prefix_join_binary(fx.units(spark, sf_dir), fx.query_units(spark, sf_dir)).select("query_id", "asset_key", "score")
@@ -363,6 +370,14 @@ def e5_segment_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.lower(F.hex("q_sp")).alias("q_sp"), "asset_key", F.col("offset").alias("chunk_offset"), F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("e5_segment_banded", f"{WITH_SEGMENTS}, {NEAREST_SEGMENTS_SQL} select q as query_id, qs as q_sp, k as asset_key, o as chunk_offset, round(sim, 9) as score, r as rank from ranked where r <= 40 and sim >= 0.79")
+def e5_segment_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest segments through bands, as far as these find all of them."""
+    segments = fx.vector_segments(spark, sf_dir)
+    found = match.segment_nearest(segments, fx.query_segments(segments), limit=5, oversampling=4, nearest="banded").filter("score >= 0.79")
+    return found.select("query_id", F.lower(F.hex("q_sp")).alias("q_sp"), "asset_key", F.col("offset").alias("chunk_offset"), F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     "f8_search_segments_approx",
     f"""{WITH_SEGMENTS}, {NEAREST_SEGMENTS_SQL},

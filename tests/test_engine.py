@@ -114,9 +114,52 @@ def test_queries_in_blocks_give_the_same(spark, sf_dir):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
 
 
+@pytest.mark.parametrize("nbytes", [4, 8, 16])
+def test_banded_recall(spark, nbytes):
+    """Against brute force, of codes that differ in up to a quarter of their bits: 0.9 at least, and all of the near ones."""
+    import random
+
+    random.seed(nbytes)
+    base = [random.randbytes(nbytes) for _ in range(60)]
+    stored = [(1000 * i + j, "CONTENT_TEXT_V0", flipped(random, b, random.randint(0, nbytes * 2))) for i, b in enumerate(base) for j in range(25)]
+    args = units(spark, stored), queries(spark, [(i, "CONTENT_TEXT_V0", b) for i, b in enumerate(base)])
+    exact, banded = ({(r.query_id, r.asset_key): r.score for r in match.nphd_nearest(*args, 1500, nearest=n).collect() if r.score >= 0.75} for n in ("exact", "banded"))
+    assert banded.items() <= exact.items() and len(exact) >= 1500
+    assert len(banded) >= 0.9 * len(exact)
+    if nbytes <= 8:
+        assert all(k in banded for k, s in exact.items() if s >= 0.79)
+    rows = match.nphd_nearest(*args, 1500, nearest="banded").select("query_id", "asset_key")
+    assert rows.count() == rows.distinct().count()
+
+
+def flipped(random, code, bits):
+    number = int.from_bytes(code, "big")
+    for at in random.sample(range(8 * len(code)), bits):
+        number ^= 1 << at
+    return number.to_bytes(len(code), "big")
+
+
+def test_banded_segments_recall(spark):
+    import random
+
+    random.seed(2)
+    base = [random.randbytes(8) for _ in range(40)]
+    stored = segments(spark, [(1000 * i + j, flipped(random, b, random.randint(0, 16)), 0) for i, b in enumerate(base) for j in range(25)])
+    found = [{(r.sp_pos, r.asset_key) for r in match.segment_nearest(stored, asked(spark, base), 100, nearest=n).collect() if r.score >= 0.75} for n in ("exact", "banded")]
+    assert found[1] <= found[0] and len(found[1]) >= 0.9 * len(found[0]) >= 900
+
+
+def test_short_codes_meet_by_prefix(spark):
+    """Codes of 32 bits are found by longer ones and find them."""
+    body = bytes(range(1, 9))
+    stored = units(spark, [(1, "DATA_NONE_V0", body[:4]), (2, "DATA_NONE_V0", body), (3, "DATA_NONE_V0", bytes(4))])
+    for n, want in ((4, {1: 32, 2: 32}), (8, {1: 32, 2: 64})):
+        assert {r.asset_key: r.matched_bits for r in match.prefix_join_graded(stored, queries(spark, [(1, "DATA_NONE_V0", body[:n])])).collect()} == want
+
+
 def test_options_are_checked():
     assert Options().override(limit=3).limit == 3
-    for bad in ({"mode": "other"}, {"threshold_units": 2}, {"limit": 0}):
+    for bad in ({"mode": "other"}, {"nearest": "other"}, {"threshold_units": 2}, {"limit": 0}):
         with pytest.raises(ValueError):
             Options(**bad)
 
