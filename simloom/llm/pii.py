@@ -18,7 +18,10 @@ documents; they are summed in map tasks before the shuffle, so a common context
 value and task. DataFrame functions only.
 
 Nulls and empty texts have no spans; repeated rows are documents of their own but add no support
-(values are counted once a pattern); a null id is kept.
+(values are counted once a pattern); a null id is kept. Spans of several kinds at one place are all
+reported, in the order the kinds are listed. Texts of any length are scanned whole; a context reaches
+CONTEXT characters back. An empty table gives an empty result. Columns other than id and text are
+not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,9 +55,12 @@ GROUP_SHAPES = {
     "card": r"^[A-Z]{0,4}[0-9](?:[\x20/-]?[0-9]){8,24}$",
     "phone": r"^\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,14}\)?$",
 }
+#: Characters before a span that its context is taken from.
 CONTEXT = 64
+#: Values of a kind that must stand behind a pattern, and the score from which it is used.
 SUPPORT = 3
 CONFIDENCE = 0.8
+#: Rounds of scoring at least.
 ROUNDS = 2
 
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"

@@ -16,7 +16,10 @@ different bins, where the least start or greatest end decides exactly; so a bin
 one row a role, and no pairs are made. DataFrame functions only.
 
 Nulls and empty texts have no spans; repeated rows are documents of their own; a null id is kept.
-Weak candidates that overlap a strong span are left out, as are identifiers inside tokens.
+Weak candidates that overlap a strong span are left out, as are identifiers inside tokens. Spans of
+two strong kinds at one place are all reported, in the order the kinds are listed. Texts and runs of
+any length are scanned whole. An empty table gives an empty result. Columns other than id and text
+are not looked at, whatever their names.
 """
 
 from __future__ import annotations
