@@ -209,13 +209,23 @@ class Index:
     def get(self, ids: DataFrame) -> DataFrame:
         return _search.get_assets(self.table("assets"), ids)
 
-    def segments(self, ids: DataFrame) -> DataFrame:
-        """(asset_key, sp_type, sp, offset, size) of the assets asked for by id (iscc_id), read from their buckets alone."""
+    def _of(self, ids: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """(the distinct keys of ids (iscc_id), a table's rows in their buckets)."""
         manifest = self.manifest()
         keys = stored(ids.select(codec.id_key(F.col("iscc_id")).alias("asset_key")).filter("asset_key is not null").distinct(), "asked")
         buckets = [str(r["b"]) for r in keys.select(self._bucket(manifest).alias("b")).distinct().collect()]
-        own = self._read(manifest, "segments", buckets).select("asset_key", "sp_type", "sp", "offset", "size")
-        return own.join(keys, "asset_key", "left_semi")
+        return keys, self._read(manifest, name, buckets)
+
+    def segments(self, ids: DataFrame) -> DataFrame:
+        """(asset_key, sp_type, sp, offset, size) of the assets asked for by id (iscc_id), read from their buckets alone."""
+        keys, own = self._of(ids, "segments")
+        return own.select("asset_key", "sp_type", "sp", "offset", "size").join(keys, "asset_key", "left_semi")
+
+    def contains(self, ids: DataFrame) -> DataFrame:
+        """(asset_key, present) of each id (iscc_id) asked for, once; ids that are none are left out."""
+        keys, own = self._of(ids, "assets")
+        own = own.select("asset_key")
+        return keys.join(own, "asset_key", "left_semi").withColumn("present", F.lit(True)).unionByName(keys.join(own, "asset_key", "left_anti").withColumn("present", F.lit(False)))
 
     def search(self, queries: DataFrame) -> DataFrame:
         """Global matches of (query_id, iscc_id, iscc_code, units)."""

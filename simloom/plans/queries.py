@@ -470,8 +470,13 @@ def f6_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a16_segments_of_assets", f"{WITH_SEGMENTS} select distinct k as asset_key, s as sp, o as chunk_offset, z as chunk_size from ts where k % 20 = 0")
 def a16_segments_of_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = fx.text_segments(spark, sf_dir).filter(F.col("asset_key") % 20 == 0)
-    return own.select("asset_key", F.lower(F.hex("sp")).alias("sp"), F.col("offset").alias("chunk_offset"), F.col("size").alias("chunk_size")).distinct()
+    """The segments of one type that an index holds of every twentieth asset."""
+    index = _index(spark, "segments")
+    index.upsert(fx.index_entries(spark, sf_dir))
+    asked = fx.table(spark, sf_dir, "documents").filter(F.col("doc_id") % 20 == 0).select(fx.ids(F.col("doc_id")).alias("iscc_id"))
+    own = index.segments(asked).filter(F.col("sp_type") == fx.SEGMENT_TYPE)
+    key = F.shiftright("asset_key", 12) - 1_000_000
+    return own.select(key.alias("asset_key"), F.lower(F.hex("sp")).alias("sp"), F.col("offset").alias("chunk_offset"), F.col("size").alias("chunk_size"))
 
 
 @query("f17_segment_bits", f"{WITH_SEGMENTS} select t as sp_type, max(length(s) * 4)::int as bits, count(*) as segments from (select t, s from ts union all select t, s from vs) group by t")
@@ -622,9 +627,12 @@ def f14_index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("e9_membership", "select doc_id as asset_key, doc_id in (select doc_id from labels) as present from documents")
 def e9_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = (fx.table(spark, sf_dir, t).select(F.col("doc_id").alias("asset_key")) for t in ("documents", "labels"))
-    inside, outside = docs.join(labels, "asset_key", "left_semi"), docs.join(labels, "asset_key", "left_anti")
-    return inside.withColumn("present", F.lit(True)).unionByName(outside.withColumn("present", F.lit(False)))
+    """Which documents an index of the labelled ones contains."""
+    index = _index(spark, "labelled")
+    labelled = fx.table(spark, sf_dir, "labels").select(F.shiftleft(F.col("doc_id") + 1_000_000, 12).alias("asset_key"))
+    index.upsert(fx.assets(spark, sf_dir).join(labelled, "asset_key", "left_semi").select("iscc_id", "iscc_code", "units", "metadata", F.col("asset_key").alias("pos")))
+    found = index.contains(fx.table(spark, sf_dir, "documents").select(fx.ids(F.col("doc_id")).alias("iscc_id")))
+    return found.select((F.shiftright("asset_key", 12) - 1_000_000).alias("asset_key"), "present")
 
 
 # ---- sources and logs -----------------------------------------------------------------------------------
