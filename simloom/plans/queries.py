@@ -382,7 +382,7 @@ def e5_segment_banded(spark: SparkSession, sf_dir: str) -> DataFrame:
     "f8_search_segments_approx",
     f"""{WITH_SEGMENTS}, {NEAREST_SEGMENTS_SQL},
 n as (select count(distinct k)::double as n from vs),
-df as (select s, count(distinct k) as f from vs group by s),
+df as (select s, count(distinct k) as f from (select *, row_number() over (partition by s order by k, o, z) as r from vs) where r <= 1000 group by s),
 best as (select * from (select *, row_number() over (partition by q, qs, k order by sim desc, o, z) as b from ranked where r <= 800 and sim >= 0.65) where b = 1),
 qidf as (select q, qs, ln(1 + n / (1 + coalesce(f, 0))) as idf from (select q, s as qs from qvs) cross join n left join df on df.s = qs),
 tot as (select q, sum(idf) as total, count(*) as queried from qidf group by q),
