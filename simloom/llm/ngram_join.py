@@ -69,6 +69,9 @@ CLUSTER = 256
 ARROW_ROWS = 1000
 #: Pairs a row up to which a group's pairs are formed.
 PAIRS_A_ROW = 64
+#: A prefix shingle of more rows than this is hot, if it stands in so many rows of an Arrow batch.
+HOT_ROWS = 20_000
+IN_A_BATCH = 4
 #: Classes are joined anew while they are at most this share of the nodes they stand for.
 FEWER = 0.5
 
@@ -576,6 +579,36 @@ def jaccard_components(
     return named.select(F.col("named").alias(id_col), "n_shingles", "component_id")
 
 
+def _hot_tokens(named: DataFrame, rows: int) -> DataFrame | None:
+    """(token) of the prefix shingles that over `rows` rows of named (prefix) hold, as far as an Arrow batch shows them; None if there are none."""
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, count = np.unique(np.concatenate(_arrays(batch.column(0)) or [np.zeros(0, np.int64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token[count >= IN_A_BATCH])], ["token"])
+
+    seen = materialise(named.select("prefix").mapInArrow(often, "token long").distinct(), "seen-tokens")
+    counts = named.select(F.explode("prefix").alias("token")).join(bounded(seen), "token").groupBy("token").agg(F.count("*").alias("n"))
+    hot = materialise(counts.filter(F.col("n") > rows).select("token"), "hot-tokens")
+    return None if hot.isEmpty() else hot
+
+
+def _grouped(posts: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """posts (token, id, n, early, …) of tokens with several rows, with lead, the least (id, n) of the token, and has_early.
+
+    Groups are windows; those of hot tokens, which would be a task each, are aggregated and joined back.
+    """
+    group = Window.partitionBy("token")
+    rest = posts if hot is None else posts.join(bounded(hot), "token", "left_anti")
+    rest = rest.withColumn("members", F.count("*").over(group)).withColumn("lead", F.min(F.struct("id", "n")).over(group)).filter("members > 1").drop("members")
+    rest = rest.withColumn("has_early", F.max("early").over(group))
+    if hot is None:
+        return rest
+    large = posts.join(bounded(hot), "token", "left_semi")
+    leads = large.groupBy("token").agg(F.min(F.struct("id", "n")).alias("lead"), F.max("early").alias("has_early"), F.count("*").alias("members")).filter("members > 1")
+    return rest.unionByName(large.join(bounded(materialise(leads, "hot-leads")), "token").select(rest.columns))
+
+
 def _components_of(texts: DataFrame, k: int, percent: int, frequent: int, most_frequent: int) -> DataFrame:
     spark = texts.sparkSession
     common = spark.sparkContext.broadcast(frequent_shingles(texts, k, frequent, most_frequent))
@@ -596,10 +629,8 @@ def _components_of(texts: DataFrame, k: int, percent: int, frequent: int, most_f
     classes = materialise(named.groupBy("n", "d1", "d2").agg(F.min("id").alias("node")), "classes")
     nodes = bounded(classes.select(F.col("node").alias("id")).distinct())
     posts = named.join(nodes, "id", "left_semi").select("id", "n", "last_f", F.element_at("prefix", -1).alias("last_t"), F.posexplode("prefix").alias("at", "token"))
-    group = Window.partitionBy("token")
-    posts = posts.withColumn("members", F.count("*").over(group)).withColumn("lead", F.min(F.struct("id", "n")).over(group)).filter("members > 1")
-    early = F.col("n") - F.col("at") >= need(F.col("n"), F.col("n"), percent)
-    posts = posts.withColumn("early", early).withColumn("has_early", F.max("early").over(group))
+    posts = posts.withColumn("early", F.col("n") - F.col("at") >= need(F.col("n"), F.col("n"), percent))
+    posts = _grouped(posts, _hot_tokens(named, HOT_ROWS))
     posts = materialise(posts.select("token", "id", "n", "at", "early", "has_early", "last_f", "last_t", F.col("lead.id").alias("lead_id"), F.col("lead.n").alias("lead_n")), "shared-prefixes")
     shared = posts.groupBy("id").agg(F.max("n").alias("n"), F.max("last_f").alias("last_f"), F.max("last_t").alias("last_t"), F.collect_set("token").alias("tokens"), (F.countDistinct("n", "last_f", "last_t") > 1).alias("mixed"))
     shared = materialise(shared, "shared-by-node")

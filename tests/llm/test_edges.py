@@ -396,6 +396,7 @@ def test_ngram_join_against_brute_force(spark, monkeypatch, pairs_a_row, broadca
     monkeypatch.setattr("simloom.llm.common.BROADCAST_ROWS", broadcast_rows)
     monkeypatch.setattr(ngram_join, "PAIRS_A_ROW", pairs_a_row)
     monkeypatch.setattr(ngram_join, "FEWER", fewer)
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 3 if fewer else 10**6)
     monkeypatch.setattr(ngram_join, "BLOCK", 7)
     monkeypatch.setattr(ngram_join, "CHUNK", 5)
     monkeypatch.setattr(ngram_join, "CLUSTER", 6)
