@@ -165,7 +165,7 @@ def pack_conversations(conversations: DataFrame, pack: int = PACK, encode: Calla
     names = F.aggregate(
         "turns",
         F.array().cast("array<string>"),
-        lambda so_far, t: F.concat(so_far, F.array(F.sha2(F.concat_ws("\n", F.get(so_far, F.size(so_far) - 1), F.char_length(t["role"]).cast("string"), t["role"], t["text"]), 256))),
+        lambda so_far, t: F.concat(so_far, F.array(F.sha2(F.concat_ws("\n", F.get(so_far, F.size(so_far) - 1), F.char_length(t["role"]).cast("string"), t["role"], t["text"]), 256).substr(1, 32))),
     )
     rows = materialise(conversations.select(F.monotonically_increasing_id().alias("row_"), "conv_id", "turns", names.alias("names")), "conversations")
     prefixes = rows.select("row_", F.posexplode("names").alias("at", "prefix"), "names").withColumn("parent", F.get("names", F.col("at") - 1))
@@ -183,7 +183,7 @@ def pack_conversations(conversations: DataFrame, pack: int = PACK, encode: Calla
         F.max_by("packs", "at").alias("packs"),
         F.collect_list(F.when(F.col("writer") == F.col("row_"), F.col("at"))).alias("writes"),
     )
-    rows = rows.join(found, "row_", "left")
+    rows = rows.join(bounded(materialise(found, "hot-rows")), "row_", "left")
     depth = F.coalesce("depth", F.lit(0))
     # Below a hot prefix, whole subtrees are dealt over as many packs as their conversations fill.
     following = F.get("names", depth)
