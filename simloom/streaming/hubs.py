@@ -5,7 +5,8 @@ reads. A poll reads the checkpoints, plans the bundles past each hub's cursor, r
 them on the executors, and upserts all hubs' entries in one batch, in which the record with the
 greatest (leaf_index, hub_id) of an asset wins. A bundle that is missing, cut short or of another
 number of records stops its hub there: the records before it count and the cursor stays at it, so
-the next poll tries it again. A tree that has shrunk sets its hub's cursor to 0, and the next poll
+the next poll tries it again. A poll reads `poll_bundles` of a hub at most, and the next one goes on
+there; `catch_up` polls until nothing is left. A tree that has shrunk sets its hub's cursor to 0, and the next poll
 reads it from the start. Cursors are written after the upsert, and upserts are idempotent, so a
 record may be read twice and never lost.
 """
@@ -117,6 +118,14 @@ class Poller:
         self._save()
         return self.status()
 
+    def catch_up(self) -> list[dict]:
+        """Poll until no cursor moves, as a poll reads poll_bundles of a hub at most; returns status()."""
+        while True:
+            before = {hub: s["cursor"] for hub, s in self.statuses.items()}
+            shown = self.poll()
+            if before == {s["hub_id"]: s["cursor"] for s in shown}:
+                return shown
+
     def _ingest(self, plan: list[tuple], sizes: dict[int, int]) -> None:
         read = stored(self._records(plan), "records")
         failed = {r["hub_id"]: (r["bad"]["bundle"], r["bad"]["error"]) for r in read.filter("error is not null").groupBy("hub_id").agg(F.min(F.struct("bundle", "error")).alias("bad")).collect()}

@@ -435,3 +435,13 @@ def test_poller(spark, sf_dir, tmp_path):
     assert {s["hub_id"]: s["ok"] for s in again.poll()} == {1: True, 7: False}
     rounds = iter([False, False, True])
     again.run(lambda: next(rounds), lambda _: None)
+
+
+def test_followed_state_of_logs_longer_than_a_poll(spark, sf_dir, duck, same, monkeypatch):
+    """All bundles count, also those beyond the ones a poll reads of a hub."""
+    from simloom.plans import queries
+
+    monkeypatch.setattr(queries, "OPTIONS", queries.OPTIONS.override(poll_bundles=1))
+    monkeypatch.setattr(queries._index, "__defaults__", (queries.OPTIONS,))
+    query, sql = queries.QUERIES["i2_followed_state"]
+    same(query(spark, sf_dir).toArrow(), duck.sql(sql).to_arrow_table())
