@@ -149,6 +149,48 @@ def test_banded_segments_recall(spark):
     assert found[1] <= found[0] and len(found[1]) >= 0.9 * len(found[0]) >= 900
 
 
+@pytest.mark.parametrize("block", [10_000, 5])
+@pytest.mark.parametrize("nbytes", [1, 4, 8, 9, 20, 31])
+def test_nearest_segments_against_brute_force(spark, nbytes, block):
+    """Copies, negative keys, another length and another type beside the codes asked for, fewer rows than the limit, blocks."""
+    import random
+
+    random.seed(nbytes)
+    base = [random.randbytes(nbytes) for _ in range(20)]
+    rows = [(random.choice((1, -1)) * (100 * i + j), "S", base[0] if j < 12 else flipped(random, b, random.randint(0, nbytes)), j % 3) for i, b in enumerate(base) for j in range(20)]
+    rows += [(9000, "S", base[0] + b"x", 0), (9001, "T", base[0], 0), (9002, "S", base[1] + b"y", 7)]
+    stored = spark.createDataFrame([(k, t, bytearray(sp), o, 1) for k, t, sp, o in rows], "asset_key long, sp_type string, sp binary, offset long, size long")
+    wanted = [(q, i, "S", bytearray(sp)) for q in (1, 2) for i, sp in enumerate([*base, base[1] + b"z"])]
+    queries = spark.createDataFrame(wanted, "query_id long, sp_pos long, sp_type string, sp binary")
+    found = match.segment_nearest(stored, queries, 5, 1, block)
+    got = {(r.query_id, r.sp_pos, r["rank"]): (r.asset_key, bytes(r.sp), r.offset, round(r.score, 9)) for r in found.collect()}
+    leads = {}
+    for k, t, sp, o in rows:
+        leads[k, t, o] = min(leads.get((k, t, o), sp), sp)
+    want = {}
+    for q, i, t, sp in wanted:
+        bits = 8 * len(sp)
+        near = [(int.from_bytes(s, "big") ^ int.from_bytes(sp, "big"), k, s, o) for (k, kind, o), s in leads.items() if kind == t and len(s) == len(sp)]
+        near = sorted((x.bit_count(), k % 2**64, o, k, s) for x, k, s, o in near)[:10]
+        want |= {(q, i, at + 1): (k, s, o, round(1 - d / bits, 9)) for at, (d, _, o, k, s) in enumerate(near)}
+    assert got == want
+
+
+def test_nearest_segments_make_no_row_a_pair(spark):
+    """Of 400 codes against 2000, one of them 500 times, only rows near enough leave the comparison, of copies as many as asked for."""
+    import random
+
+    random.seed(3)
+    rows = [(k, random.randbytes(8), 0) for k in range(1500)] + [(k, A, 0) for k in range(1500, 2000)]
+    stored = match.with_leads(segments(spark, rows))
+    codes = [A, *(random.randbytes(8) for _ in range(399))]
+    words = [w.alias(f"q_{n}") for n, w in zip(match.WORDS, codec.words(F.col("q_sp")), strict=True)]
+    queries = asked(spark, codes).select(F.col("sp_type").alias("q_type"), F.col("sp").alias("q_sp")).select("*", *words)
+    near = match.codes_nearest(stored, queries, 5, 10_000)
+    assert near.count() < 60 * len(codes) < len(rows) * len(codes) / 30
+    assert near.filter(F.col("q_sp") == F.lit(A)).select("asset_key").distinct().count() < 500
+
+
 def test_short_codes_meet_by_prefix(spark):
     """Codes of 32 bits are found by longer ones and find them."""
     body = bytes(range(1, 9))
