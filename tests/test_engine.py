@@ -191,6 +191,25 @@ def test_nearest_segments_make_no_row_a_pair(spark):
     assert near.filter(F.col("q_sp") == F.lit(A)).select("asset_key").distinct().count() < 500
 
 
+def test_equal_segments_beyond_a_block_and_the_cap(spark):
+    """Shuffled or broadcast, cut at dup_limit in key order; a segment asked for twice is found twice; stored rows are read once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    stored = segments(spark, [*((k, A, 0) for k in (5, -1, 3, 9)), (4, B, 2), (7, C, 0)])
+    stored = stored.mapInArrow(counted, stored.schema)
+    queries = asked(spark, [A, B, A, bytes(8)])
+    for block in (10_000, 1):
+        seen.value = 0
+        found = {(r.sp_pos, r.asset_key) for r in match.segment_exact(stored, queries, 3, block).collect()}
+        assert found == {(p, k) for p in (0, 2) for k in (3, 5, 9)} | {(1, 4)}
+        assert seen.value == 6
+
+
 def test_short_codes_meet_by_prefix(spark):
     """Codes of 32 bits are found by longer ones and find them."""
     body = bytes(range(1, 9))
