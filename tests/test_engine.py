@@ -210,6 +210,17 @@ def test_equal_segments_beyond_a_block_and_the_cap(spark):
         assert seen.value == 6
 
 
+def test_matches_are_moved_once_for_coverage(spark):
+    """Equal segments bring their frequencies, which are those counted among the matches, and one shuffle groups them."""
+    stored, queries = segments(spark, [(1, A, 0), (1, A, 5), (2, A, 0), (2, B, 1), (3, C, 0)]), asked(spark, [A, B])
+    matches = match.segment_exact(stored, queries)
+    found = score.coverage_quality(matches, queries, 0.0)
+    assert sorted(map(str, found.collect())) == sorted(map(str, score.coverage_quality(matches.drop("freq"), queries, 0.0).collect()))
+    assert {(r.asset_key, bytes(r.sp), r.freq) for r in matches.collect()} == {(1, A, 2), (2, A, 2), (2, B, 1)}
+    plan = found.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning" in line and "asset_key" in line for line in plan.splitlines()) == 1
+
+
 def test_short_codes_meet_by_prefix(spark):
     """Codes of 32 bits are found by longer ones and find them."""
     body = bytes(range(1, 9))
