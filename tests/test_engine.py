@@ -241,6 +241,26 @@ def test_exact_segment_search_reads_segments_once(spark):
     assert found[0] == found[1] and len(found[0]) == 3
 
 
+def test_nearest_segment_search_reads_segments_twice(spark):
+    """Once to compare and once for frequencies, however many blocks the query segments fill, with the same results."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    stored = match.with_leads(segments(spark, [(1, A, 0), (1, B, 1), (2, A, 0), (3, C, 0), (3, B, 2)]))
+    stored = stored.mapInArrow(counted, stored.schema)
+    found = []
+    for block in (10_000, 1):
+        seen.value = 0
+        rows = search.search_segments(stored, asked(spark, [A, B, C]), 3, options=Options(query_block=block)).collect()
+        found.append(sorted((r.asset_key, round(r.score, 9), r["rank"]) for r in rows))
+        assert seen.value <= 10
+    assert found[0] == found[1] and len(found[0]) == 3
+
+
 def test_short_codes_meet_by_prefix(spark):
     """Codes of 32 bits are found by longer ones and find them."""
     body = bytes(range(1, 9))
