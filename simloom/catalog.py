@@ -164,7 +164,9 @@ class Index:
         gone = _upsert.stale_instances(units, new_units).select("asset_key", "unit_type")
         kept_units = units.join(gone, ["asset_key", "unit_type"], "left_anti").select(*units.columns)
         replaced = changed.select("asset_key", F.explode("moved").alias("sp_type"))
-        new_segments = _search.segments_of(changed, "asset_key").join(replaced, ["asset_key", "sp_type"], "left_semi")
+        # Moved once, as whole assets: neither the segments' distinct rows nor their leads need another shuffle.
+        moved = F.filter("simprints", lambda s: F.array_contains("moved", s["sp_type"]))
+        new_segments = _search.segments_of(changed.withColumn("simprints", moved).repartition("asset_key"), "asset_key")
         kept_segments = old_segments.join(replaced, ["asset_key", "sp_type"], "left_anti")
         self._commit(
             manifest,

@@ -441,6 +441,17 @@ def test_segments_in_an_index(spark, tmp_path, material):
     assert sorted(map(str, index.table("segments").collect())) == rows and index.check().isEmpty()
 
 
+def test_index_search_reads_segments_once(spark, tmp_path, material):
+    """The plan of an exact segment search does not grow with the blocks that the query segments would fill."""
+    index = Catalog(spark, f"file://{tmp_path}", Options(buckets=2, query_block=1)).create("once")
+    listed = [[("S", simprint(x), i, 1) for i, x in enumerate((A, B, C))], [("S", simprint(A), 0, 1), ("T", simprint(A), 0, 1), ("T", simprint(A), 0, 1)]]
+    index.upsert(spark.createDataFrame([(m["iscc_id"], m["iscc_code"], m["units"], m["metadata"], i, own) for i, (m, own) in enumerate(zip(material, listed, strict=False))], WITH_SIMPRINTS))
+    asked = spark.createDataFrame([(1, {"S": [simprint(bytes([x] * 8)) for x in range(1, 41)]})], "query_id long, simprints map<string,array<string>>")
+    found = index.search_segments(asked, exact=True)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 6
+    assert index.stats()["segment_types"] == {"S": 4, "T": 1}
+
+
 def test_replays_write_nothing_and_writers_conflict(spark, tmp_path, material):
     index = Catalog(spark, f"file://{tmp_path}", Options(buckets=4)).create("replays")
     rows = [(m["iscc_id"], m["iscc_code"], m["units"], m["metadata"], i, [("S", simprint(A), i, 1)]) for i, m in enumerate(material)]
