@@ -241,6 +241,43 @@ def test_exact_segment_search_reads_segments_once(spark):
     assert found[0] == found[1] and len(found[0]) == 3
 
 
+@pytest.mark.parametrize("threshold, block", [(0.65, 10_000), (0.0, 1)])
+def test_exact_scores_make_no_row_a_match(spark, monkeypatch, threshold, block):
+    """The scores and chunks of all matches, from a row a class of segments; a frequent segment alone makes no candidate."""
+    import random
+
+    random.seed(5)
+    sps = [random.randbytes(8) for _ in range(60)]
+    rows = [(k, sp, i) for k in range(-5, 15) for i, sp in enumerate(sps[:40])] + [(k, sps[39], 0) for k in range(100, 150)]
+    rows += [(k, sp, i) for k in range(200, 230) for i, sp in enumerate(random.sample(sps, random.randint(1, 60)) * random.randint(1, 2))]
+    stored, queries = segments(spark, rows), asked(spark, [*sps[:40], sps[0], bytes(8)])
+    queries = queries.unionByName(asked(spark, sps[30:]).withColumn("query_id", F.lit(2).cast("long"))).unionByName(asked(spark, [bytes(8)]).withColumn("query_id", F.lit(3).cast("long")))
+    kept, write = {}, score.stored
+    monkeypatch.setattr(score, "stored", lambda frame, label: kept.setdefault(label, write(frame, label)))
+    options = Options(threshold_simprints=threshold, query_block=block, limit=100)
+    found = search.search_segments(stored, queries, 0, True, options)
+    want = score.coverage_quality(match.segment_exact(stored, queries), queries, threshold)
+    want = score.top_k(score.mean_over_types(score.top_k(want, 200, ("query_id", "sp_type")).drop("rank")), 100)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.select(*found.columns).collect()))
+    # 2 rows asked for and held by 20 copies would make 800 rows alone.
+    assert kept["asked-classes"].count() < 100 and (threshold == 0 or kept["pairs"].count() < 90)
+    kept.clear()
+    short = search.search_segments(stored, queries, 0, True, options, chunks=False).select("query_id", "asset_key", "score", "rank", F.map_values("types")[0].alias("d"))
+    assert "chunks" not in short.schema["d"].dataType.names
+    assert sorted((r.query_id, r.asset_key, r.score, r["rank"], *r.d) for r in short.collect()) == sorted((r.query_id, r.asset_key, r.score, r["rank"], *r.types["S"][:3]) for r in found.collect())
+
+
+def test_segments_that_nobody_asks_for_are_not_shuffled(spark):
+    """Beyond a block of queries, marks leave nearly all others out before the join, and keep all that are asked for."""
+    import random
+
+    random.seed(6)
+    sps = [random.randbytes(8) for _ in range(3000)]
+    rows, wanted = segments(spark, [(k, sp, 0) for k, sp in enumerate(sps)]), asked(spark, sps[:100]).select(F.col("sp_type").alias("q_type"), F.col("sp").alias("q_sp"))
+    left = {r.asset_key for r in match._marked(rows, wanted, 100).collect()}
+    assert left >= set(range(100)) and len(left) < 200
+
+
 def test_nearest_segment_search_reads_segments_twice(spark):
     """Once to compare and once for frequencies, however many blocks the query segments fill, with the same results."""
     seen = spark.sparkContext.accumulator(0)
