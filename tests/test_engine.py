@@ -298,6 +298,30 @@ def test_nearest_segment_search_reads_segments_twice(spark):
     assert found[0] == found[1] and len(found[0]) == 3
 
 
+@pytest.mark.parametrize("block", [10_000, 1])
+def test_near_segments_are_kept_once_for_all_queries(spark, monkeypatch, block):
+    """A row for a code and an asset, however many queries and segments of the asset, with the scores and chunks of all rows."""
+    import random
+
+    random.seed(7)
+    base = [random.randbytes(8) for _ in range(12)]
+    rows = [(k, flipped(random, b, random.randint(0, 20)), i) for k in range(-3, 12) for i, b in enumerate(random.sample(base, 6) * 2)]
+    stored = match.with_leads(segments(spark, [*rows, (50, base[0], 0), (51, base[0], 0)]))
+    own = [(q, i, "S", bytearray(sp)) for q in range(8) for i, sp in enumerate([*base[: 5 + q % 2], base[0], base[11]])]
+    queries = spark.createDataFrame(own, "query_id long, sp_pos long, sp_type string, sp binary")
+    kept, write = {}, search.stored
+    monkeypatch.setattr(search, "stored", lambda frame, label: kept.setdefault(label, write(frame, label)))
+    options = Options(threshold_simprints=0.65, query_block=block, limit=10, oversampling=3)
+    found = search.search_segments(stored, queries, 17, options=options)
+    near = match.segment_nearest(stored, queries, 10, 3, block)
+    want = score.idf_weighted(near, queries, score.document_frequency(stored), 17, 0.65)
+    want = score.top_k(score.mean_over_types(score.top_k(want, 20, ("query_id", "sp_type")).drop("rank")), 10)
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.select(*found.columns).collect()))
+    met = near.filter("score >= 0.65")
+    assert kept["near-segments"].count() == met.select("q_sp", "asset_key").distinct().count() < met.count() / 8
+    assert kept["frequencies"].count() <= len(rows) + 12
+
+
 def test_short_codes_meet_by_prefix(spark):
     """Codes of 32 bits are found by longer ones and find them."""
     body = bytes(range(1, 9))
