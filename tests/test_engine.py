@@ -267,6 +267,22 @@ def test_exact_scores_make_no_row_a_match(spark, monkeypatch, threshold, block):
     assert sorted((r.query_id, r.asset_key, r.score, r["rank"], *r.d) for r in short.collect()) == sorted((r.query_id, r.asset_key, r.score, r["rank"], *r.types["S"][:3]) for r in found.collect())
 
 
+@pytest.mark.parametrize("freqs, queried", [([990, 993, 993, 994], 4), ([30] * 85 + [70] * 43, 128), ([991, 999, 1000], 5), ([7] * 3, 3), ([1, 5_000_000], 2)])
+def test_exact_scores_are_right_in_their_last_places(spark, freqs, queried):
+    """Frequencies close to each other, and scores that lie midway between two of six places: the sum is right, the rest as in SQL."""
+    from fractions import Fraction
+
+    sps = [i.to_bytes(8, "big") for i in range(queried)]
+    rows = [("S", bytearray(sp), 1, 0, 1, f) for sp, f in zip(sps, freqs, strict=False)]
+    held = spark.createDataFrame(rows, "sp_type string, sp binary, asset_key long, offset long, size long, freq long")
+    mean, least, most = float(sum(Fraction(1, f) for f in freqs)) / len(freqs), 1 / max(freqs), 1 / min(freqs)
+    want = len(freqs) / queried * (1 if least == most else (mean - least) / (most - least))
+    queries = asked(spark, sps)
+    matches = held.join(queries, ["sp_type", "sp"])
+    for found in (score.coverage_scores(held, queries, 0.0), score.coverage_quality(matches, queries, 0.0)):
+        assert [r.score for r in found.collect()] == [want]
+
+
 def test_segments_that_nobody_asks_for_are_not_shuffled(spark):
     """Beyond a block of queries, marks leave nearly all others out before the join, and keep all that are asked for."""
     import random
