@@ -85,20 +85,32 @@ class Poller:
 
     def _plan(self, sizes: dict[int, int]) -> list[tuple]:
         """(hub_id, bundle, width, skip, path) to read now, at most poll_bundles of a hub."""
-        rows = [(hub, self.statuses[hub]["cursor"], size, self.hubs[hub]) for hub, size in sizes.items()]
+        rows = [(hub, self.statuses[hub]["cursor"], size, self._files.qualified(self.hubs[hub])) for hub, size in sizes.items()]
         hubs = self.spark.createDataFrame(rows, "hub_id long, last_size long, tree_size long, url string")
         most = F.floor(F.col("last_size") / tlog.WIDTH) + self.options.poll_bundles
         plan = tlog.plan_bundles(hubs.withColumn("tree_size", F.least("tree_size", most * tlog.WIDTH)))
         plan = plan.join(hubs.select("hub_id", "url"), "hub_id").withColumn("path", F.concat("url", F.lit("/log/"), tlog.entries_path(F.col("bundle"), F.col("width"))))
-        return [(r["hub_id"], r["bundle"], r["width"], r["skip"], self._files.qualified(r["path"])) for r in plan.orderBy("hub_id", "bundle").collect()]
+        return [(r["hub_id"], r["bundle"], r["width"], r["skip"], r["path"]) for r in plan.orderBy("hub_id", "bundle").collect()]
 
     def _records(self, plan: list[tuple]) -> DataFrame:
-        """(hub_id, bundle, leaf_index, record, error) of the planned bundles; missing files are errors."""
-        there = [p for p in plan if self._files.exists(p[4])]
-        gone = self.spark.createDataFrame([(p[0], p[1], None, None, "no such bundle") for p in plan if p not in there], "hub_id long, bundle long, leaf_index long, record binary, error string")
+        """(hub_id, bundle, leaf_index, record, error) of the planned bundles; missing files are errors.
+
+        Their folders are listed, as a call a file costs more than its records; a folder of which half is planned is read whole.
+        """
+        folders: dict[str, list[tuple]] = {}
+        for p in plan:
+            folders.setdefault(p[4].rpartition("/")[0], []).append(p)
+        there, gone, paths = [], [], []
+        for folder, planned in folders.items():
+            names = set(self._files.names(folder))
+            own = [p for p in planned if p[4].rpartition("/")[2] in names]
+            gone += [(p[0], p[1], None, None, "no such bundle") for p in planned if p[4].rpartition("/")[2] not in names]
+            there += own
+            paths += [folder] if own and 2 * len(own) >= len(names) else [p[4] for p in own]
+        gone = self.spark.createDataFrame(gone, "hub_id long, bundle long, leaf_index long, record binary, error string")
         if not there:
             return gone
-        read = self.spark.read.format("binaryFile").load([p[4] for p in there]).select("path", "content")
+        read = self.spark.read.format("binaryFile").load(paths).select("path", "content")
         expected = F.when(F.col("width") > 0, F.col("width")).otherwise(tlog.WIDTH).cast("long")
         bundles = read.join(F.broadcast(self.spark.createDataFrame(there, _PLAN)), "path").withColumn("expected", expected)
         return tlog.records(bundles).unionByName(gone)

@@ -645,3 +645,18 @@ def test_followed_state_of_logs_longer_than_a_poll(spark, sf_dir, duck, same, mo
     monkeypatch.setattr(queries._index, "__defaults__", (queries.OPTIONS,))
     query, sql = queries.QUERIES["i2_followed_state"]
     same(query(spark, sf_dir).toArrow(), duck.sql(sql).to_arrow_table())
+
+
+def test_bundles_take_no_call_of_the_driver_each(spark, sf_dir, duck, same, monkeypatch):
+    """Executors write the logs, and a poll lists folders: the driver neither makes a bundle's file nor asks for it."""
+    import re
+
+    from simloom.plans import queries
+    from simloom.store import Files
+
+    seen = []
+    for name in ("create", "exists", "qualified"):
+        monkeypatch.setattr(Files, name, lambda self, path, *rest, call=getattr(Files, name): (seen.append(path), call(self, path, *rest))[1])
+    query, sql = queries.QUERIES["i2_followed_state"]
+    same(query(spark, sf_dir).toArrow(), duck.sql(sql).to_arrow_table())
+    assert seen and not [path for path in seen if re.search(r"/tile/entries/.*\d$", path)]
